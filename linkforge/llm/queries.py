@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import language_id, quality, toxicity
 from .bpe import bpe_encode
 from .exact_dedup import exact_dedup
 from .packing import pack
+from .storage import on_workers
 from .url_filter import url_filter
 
 #: Fixed rule list of the URL query: (rule, action).
@@ -30,6 +32,7 @@ def vocabulary() -> str:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    on_workers(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -38,6 +41,44 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter(table(spark, sf_dir, "pages"), rules)
 
 
+def id_remainder(n: int) -> Column:
+    """crc32 of doc_id as text, modulo n."""
+    return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(n))
+
+
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = language_id.train(docs.filter(id_remainder(3) != 1))
+    found = language_id.identify(docs, model)
+    return found.withColumn("held_out", F.coalesce(id_remainder(3) == 1, F.lit(False)))
+
+
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rejected: texts whose probability of the upper grade is under one half."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = quality.train(docs, labels.filter(id_remainder(5) != 0))
+    rated = quality.rate(docs, model, least_grade=1.0)
+    return rated.select(
+        "doc_id",
+        F.coalesce(id_remainder(5) == 0, F.lit(False)).alias("held_out"),
+        "expected_grade",
+        "tail_probability",
+        (F.col("tail_probability") >= 0.5).alias("kept"),
+    )
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = toxicity.train(docs, labels.filter(id_remainder(5) != 0))
+    scored = toxicity.score_toxicity(docs, model)
+    return scored.select(
+        "doc_id",
+        F.coalesce(id_remainder(5) == 0, F.lit(False)).alias("held_out"),
+        "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"),
+    )
+
+
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), vocabulary())
 
@@ -83,9 +124,12 @@ SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(t) AS text_
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_url_filter": op1_url_filter,
+        "op2_language_id": op2_language_id,
         "op3_best_fit_packing": op3_best_fit_packing,
+        "op7_quality": op7_quality,
         "op8_exact_dedup": op8_exact_dedup,
         "op9_bpe": op9_bpe,
+        "op10_toxicity": op10_toxicity,
     }
 
 
