@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 from . import language_id, quality, toxicity
 from .bpe import bpe_encode
 from .exact_dedup import exact_dedup
+from .itq import near_vectors
 from .packing import pack
+from .simhash import near_duplicates
 from .storage import on_workers
 from .url_filter import url_filter
 
@@ -53,6 +55,14 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("held_out", F.coalesce(id_remainder(3) == 1, F.lit(False)))
 
 
+def op4_itq_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rejected: texts whose probability of the upper grade is under one half."""
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
@@ -126,6 +136,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_url_filter": op1_url_filter,
         "op2_language_id": op2_language_id,
         "op3_best_fit_packing": op3_best_fit_packing,
+        "op4_itq_near_dedup": op4_itq_near_dedup,
+        "op6_simhash": op6_simhash,
         "op7_quality": op7_quality,
         "op8_exact_dedup": op8_exact_dedup,
         "op9_bpe": op9_bpe,
