@@ -25,13 +25,47 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .bpe import encoder, list_array, text_slices
+from .bpe import PATTERN, Encoder, list_array, text_slices
 from .storage import materialise
 
 SEQUENCE_LENGTH = 2048
 Pattern = tuple[int, ...]
 
 
+class MergingEncoder(Encoder):
+    """The same ids, with pieces that were not seen before encoded by a compiled merge loop.
+
+    That loop takes the lower id first, which is the order of merges where ids are given
+    in that order, as a vocabulary made by training has them; any other vocabulary keeps
+    to the slower way.
+    """
+
+    def __init__(self, path: str) -> None:
+        super().__init__(path)
+        made = [n for n in self.made_by if n >= 0]
+        self.library = None
+        if made == sorted(made):
+            import tiktoken
+
+            ranks = {b: i for i, b in enumerate(self.bytes) if b and i not in self.specials.values()}
+            self.library = tiktoken.Encoding("pieces", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+    def ids_of_segment(self, text: str) -> bytes:
+        if self.library is None:
+            return super().ids_of_segment(text)
+        return array("I", self.library.encode_ordinary(text)).tobytes()
+
+
+_ENCODERS: dict[str, MergingEncoder] = {}
+
+
+def encoder(path: str) -> MergingEncoder:
+    """This process's encoder for the vocabulary file."""
+    if path not in _ENCODERS:
+        _ENCODERS[path] = MergingEncoder(path)
+    return _ENCODERS[path]
+
+
 def _take(counts: np.ndarray, pattern: Pattern) -> int:
     """How often the pattern can be taken; takes it so often."""
     need: dict[int, int] = {}
