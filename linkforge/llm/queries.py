@@ -15,6 +15,7 @@ from .packing import pack
 from .simhash import near_duplicates
 from .storage import on_workers
 from .url_filter import url_filter
+from .warc import round_trip
 
 #: Fixed rule list of the URL query: (rule, action).
 URL_RULES = (
@@ -59,6 +60,10 @@ def op4_itq_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(table(spark, sf_dir, "embeddings"))
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return round_trip(table(spark, sf_dir, "pages"))
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -131,12 +136,25 @@ SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(t) AS text_
 """
 
 
+OP5_SQL = """
+WITH p AS (
+  SELECT page_id, coalesce(html, '') AS h, strlen(coalesce(html, '')) AS payload_bytes,
+    max(page_id) OVER (PARTITION BY coalesce(html, '')) AS top
+  FROM pages)
+SELECT page_id, payload_bytes, sha1(h) AS payload_digest,
+  CASE WHEN payload_bytes >= 1000 AND page_id <> top THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN payload_bytes >= 1000 AND page_id <> top THEN top END AS refers_to
+FROM p
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_url_filter": op1_url_filter,
         "op2_language_id": op2_language_id,
         "op3_best_fit_packing": op3_best_fit_packing,
         "op4_itq_near_dedup": op4_itq_near_dedup,
+        "op5_warc": op5_warc,
         "op6_simhash": op6_simhash,
         "op7_quality": op7_quality,
         "op8_exact_dedup": op8_exact_dedup,
@@ -146,4 +164,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_url_filter": OP1_SQL, "op8_exact_dedup": OP8_SQL}
+    return {"op1_url_filter": OP1_SQL, "op5_warc": OP5_SQL, "op8_exact_dedup": OP8_SQL}
