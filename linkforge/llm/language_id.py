@@ -8,13 +8,14 @@ sparse rows of buckets times that matrix.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import text_slices
@@ -126,3 +127,17 @@ def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text
 
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, f"`{id_col}` {kind}, lang_pred string, score double")
+
+
+def certainty(spark: SparkSession, model: LanguageModel) -> Callable[[Column], Column]:
+    """identify()'s score of a text column as a column, for filters that keep a table's other columns."""
+    shared = spark.sparkContext.broadcast(model)
+
+    @F.pandas_udf("double")
+    def score(text: pd.Series) -> pd.Series:
+        known, letter = shared.value, regex.compile(r"\p{L}").search
+        texts = [t or "" for t in text]
+        told = np.array([bool(known.languages) and letter(t) is not None for t in texts], bool)
+        return pd.Series(np.where(told, score_texts(known, texts)[1], 0.0) if texts else np.zeros(0))
+
+    return score

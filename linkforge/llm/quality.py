@@ -15,6 +15,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -188,6 +189,17 @@ def train(
     return fit(x, np.array([grades.index(r["grade"]) for r in sample]), grades)
 
 
+def tails(model: QualityModel, texts: list[str], least_grade: float) -> tuple[np.ndarray, np.ndarray]:
+    """Expected grade, and probability of least_grade or more, of each text."""
+    grades = np.array(model.grades)
+    cut = int(np.searchsorted(grades, least_grade))
+    above = _sigmoid(scores(model, texts)[:, None] - model.thresholds) if len(grades) > 1 and texts else np.zeros((len(texts), max(0, len(grades) - 1)))
+    expected = grades[0] + above @ np.diff(grades)
+    if cut == 0 or len(grades) < 2:
+        return expected, np.ones(len(texts))
+    return expected, above[:, cut - 1] if cut < len(grades) else np.zeros(len(texts))
+
+
 def rate(
     docs: DataFrame, model: QualityModel, least_grade: float, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
@@ -200,16 +212,23 @@ def rate(
     names = [id_col, "expected_grade", "tail_probability"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: QualityModel = shared.value
-        grades = np.array(known.grades)
-        cut = int(np.searchsorted(grades, least_grade))
         for batch in batches:
             for part, texts in text_slices(batch):
-                above = _sigmoid(scores(known, texts)[:, None] - known.thresholds) if len(grades) > 1 else np.zeros((len(texts), 0))
-                expected = grades[0] + above @ np.diff(grades)
-                tail = np.ones(len(texts)) if cut == 0 or len(grades) < 2 else above[:, cut - 1] if cut < len(grades) else np.zeros(len(texts))
+                expected, tail = tails(shared.value, texts, least_grade)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(expected), pa.array(tail)], names)
 
     kind = docs.schema[id_col].dataType.simpleString()
     schema = f"`{id_col}` {kind}, expected_grade double, tail_probability double"
     return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, schema)
+
+
+def tail_probability(spark, model: QualityModel, least_grade: float):  # noqa: ANN001, ANN201
+    """rate()'s tail probability of a text column as a column, for filters that keep a table's other columns."""
+    shared = spark.sparkContext.broadcast(model)
+
+    @F.pandas_udf("double")
+    def tail(text: pd.Series) -> pd.Series:
+        known: QualityModel = shared.value
+        return pd.Series(tails(known, [t or "" for t in text], least_grade)[1])
+
+    return tail
