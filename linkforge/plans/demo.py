@@ -7,10 +7,13 @@ compared row by row. The gazetteer comes from ``part``, documents from ``custome
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 
+from linkforge.functions import text as T
+from linkforge.functions.dialect import DUCK, SPARK, Dialect
+from linkforge.sources.staging import staged
+
 STREETS = ("CHURCH", "HIGH", "MILL", "STATION", "LONDON", "PARK VIEW", "QUEENS", "VICTORIA", "THORN", "WINCHESTER", "OAK", "SELBORNE")
 SUFFIXES = ("ROAD", "STREET", "LANE", "AVENUE", "CLOSE", "DRIVE", "GARDENS", "COURT")
 SHORT = ("RD", "ST", "LN", "AVE", "CL", "DR", "GDNS", "CT")
@@ -84,8 +87,29 @@ def documents_sql(n_part: str) -> str:
     )
 
 
+def canonical_documents(d: Dialect, source: str) -> str:
+    return f"select *, {T.canonical(d, 'raw_address')} as can, {T.postcode(d, 'raw_address')} as pc, {T.uprn_clean(d, 'raw_uprn')} as legacy from {source}"
+
+
+def canonical_gazetteer(d: Dialect, source: str) -> str:
+    return f"select *, {T.canonical(d, 'full_address')} as can, {T.postcode(d, 'full_address')} as pc from {source}"
+
+
+def component_rows(d: Dialect, source: str, x: str, keep: str) -> str:
+    tails = f"select {keep}, pc, {T.v1_house(d, x)} as num, {T.v1_tail(d, f'upper({x})')} as tail from {source}"
+    return f"select {keep}, pc, num, {T.v1_town(d, 'tail')} as city, {T.v1_street(d, 'tail')} as way from ({tails}) tails"
+
+
 def with_clause() -> str:
-    return f"with gaz as ({gazetteer_sql()}), docs as ({documents_sql('(select count(*) from part)')})"
+    return (
+        f"with gaz_rows as ({gazetteer_sql()}), gaz as ({canonical_gazetteer(DUCK, 'gaz_rows')}), "
+        f"doc_rows as ({documents_sql('(select count(*) from part)')}), docs as ({canonical_documents(DUCK, 'doc_rows')}), "
+        f"doc_parts as ({component_rows(DUCK, 'docs', 'raw_address', 'doc_id, target_id')}), gaz_parts as ({component_rows(DUCK, 'gaz', 'full_address', 'address_id')})"
+    )
+
+
+#: Staged frames, by application and folder: canonical forms are made once, as a load would.
+_STAGED: dict[tuple[str, str, str], DataFrame] = {}
 
 
 @dataclass
@@ -103,11 +127,37 @@ class World:
             raise AttributeError(name)
         return self.table(name)
 
-    @cached_property
+    def _staged(self, name: str, make) -> DataFrame:  # noqa: ANN001
+        key = (self.spark.sparkContext.applicationId, self.sf_dir, name)
+        if key not in _STAGED:
+            _STAGED[key] = staged(make(), name)
+        return _STAGED[key]
+
+    @property
     def gaz(self) -> DataFrame:
-        return self.spark.sql(gazetteer_sql().replace("from part", "from {part}"), part=self.table("part"))
+        def make() -> DataFrame:
+            rows = self.spark.sql(gazetteer_sql().replace("from part", "from {part}"), part=self.table("part"))
+            return self.spark.sql(_escaped(canonical_gazetteer(SPARK, "ROWS")), rows=rows)
 
-    @cached_property
+        return self._staged("gaz", make)
+
+    @property
     def docs(self) -> DataFrame:
-        n = self.table("part").count()
-        return self.spark.sql(documents_sql(str(n)).replace("from customer", "from {customer}"), customer=self.table("customer"))
+        def make() -> DataFrame:
+            n = self.table("part").count()
+            rows = self.spark.sql(documents_sql(str(n)).replace("from customer", "from {customer}"), customer=self.table("customer"))
+            return self.spark.sql(_escaped(canonical_documents(SPARK, "ROWS")), rows=rows)
+
+        return self._staged("docs", make)
+
+    @property
+    def doc_parts(self) -> DataFrame:
+        return self._staged("doc_parts", lambda: self.spark.sql(_escaped(component_rows(SPARK, "ROWS", "raw_address", "doc_id, target_id")), rows=self.docs))
+
+    @property
+    def gaz_parts(self) -> DataFrame:
+        return self._staged("gaz_parts", lambda: self.spark.sql(_escaped(component_rows(SPARK, "ROWS", "full_address", "address_id")), rows=self.gaz))
+
+
+def _escaped(sql: str) -> str:
+    return sql.replace("{", "{{").replace("}", "}}").replace("from ROWS", "from {rows}")

@@ -14,6 +14,12 @@ from .demo import World, with_clause
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
+TABLES = {
+    "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages",
+    "labels", "benchmark", "conversations",
+}
+STAGED = {"gaz", "docs", "doc_parts", "gaz_parts"}
+
 #: Frames that any query may start from, as SQL over the world's frames.
 PAIRS = (
     "select d.*, g.address_id, g.uprn, g.full_address, g.house, g.road, g.town, g.postcode as gaz_postcode, g.status, g.easting as gaz_easting, g.northing as gaz_northing "
@@ -36,16 +42,14 @@ def complete(sql: str) -> str:
 
 def spark_sql(world: World, sql: str, **frames: DataFrame) -> DataFrame:
     """SQL text over frames: the world's tables by name, and others as given."""
-    views = {"gaz": world.gaz, "docs": world.docs}
     spark = world.spark
-    for name in ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "labels", "benchmark", "conversations"):
-        if re.search(rf"\b(from|join) {name}\b", sql) and name not in frames:
-            frames[name] = world.table(name)
-    if re.search(r"\b(from|join) pairs\b", sql):
+    named = set(re.findall(r"\b(?:from|join) (\w+)\b", sql)) - set(frames)
+    for name in named & TABLES:
+        frames[name] = world.table(name)
+    for name in named & STAGED:
+        frames[name] = getattr(world, name)
+    if "pairs" in named:
         frames["pairs"] = spark.sql(re.sub(r"\b(from|join) (docs|gaz)\b", r"\1 {\2}", PAIRS), docs=world.docs, gaz=world.gaz)
-    for name in ("gaz", "docs"):
-        if re.search(rf"\b(from|join) {name}\b", sql) and name not in frames:
-            frames[name] = views[name]
     escaped = sql.replace("{", "{{").replace("}", "}}")
     text = re.sub(r"\b(from|join) (\w+)\b", lambda m: f"{m[1]} {{{m[2]}}}" if m[2] in frames else m[0], escaped)
     return spark.sql(text, **frames)
