@@ -9,9 +9,11 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from linkforge.functions import text as T
 from linkforge.functions.dialect import DUCK, SPARK, Dialect
+from linkforge.operators.joins import top_k, trigram_join
 from linkforge.sources.staging import staged
 
 STREETS = ("CHURCH", "HIGH", "MILL", "STATION", "LONDON", "PARK VIEW", "QUEENS", "VICTORIA", "THORN", "WINCHESTER", "OAK", "SELBORNE")
@@ -159,5 +161,15 @@ class World:
         return self._staged("gaz_parts", lambda: self.spark.sql(_escaped(component_rows(SPARK, "ROWS", "full_address", "address_id")), rows=self.gaz))
 
 
+    def candidates(self, threshold: float, k: int) -> DataFrame:
+        """The k best trigram candidates of each document; the join is made once for each threshold."""
+        every = self._staged(
+            f"candidates_{threshold}",
+            lambda: trigram_join(self.docs.filter("can <> ''"), self.gaz, "doc_id", "can", "address_id", "can", threshold),
+        )
+        best = top_k(every, ["doc_id"], [F.desc("similarity"), F.col("address_id")], k)
+        return best.select("doc_id", "address_id", "similarity")
+
+
 def _escaped(sql: str) -> str:
     return sql.replace("{", "{{").replace("}", "}}").replace("from ROWS", "from {rows}")

@@ -36,7 +36,7 @@ def with_candidates(name: str, t: float, k: int, sql: Callable[[Dialect], str],
     """A query over cand(doc_id, address_id, similarity), the trigram candidates of each document."""
 
     def run(w: World) -> DataFrame:
-        cand = joins.trigram_join(w.docs.filter("can <> ''"), w.gaz, "doc_id", "can", "address_id", "can", t, k).select("doc_id", "address_id", "similarity")
+        cand = w.candidates(t, k)
         return spark_sql(w, sql(SPARK), cand=cand)
 
     cand = trigram_sql(t, k, "docs", "doc_id", "can", "gaz", "address_id", "can")
