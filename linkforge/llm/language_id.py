@@ -81,8 +81,8 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", bits:
         raise ValueError(f"{len(languages)} languages at {bits} bits exceed the broadcast bound; use fewer bits")
     table = np.zeros((1 << bits, max(1, len(languages))))
     prior = np.ones(max(1, len(languages)))
-    place = counted["lang"].map({x: n for n, x in enumerate(languages)}).to_numpy()
-    bucket, n = counted["bucket"].to_numpy(), counted["n"].to_numpy()
+    place = counted["lang"].map({x: n for n, x in enumerate(languages)}).to_numpy().astype(np.int64)
+    bucket, n = counted["bucket"].to_numpy().astype(np.int64), counted["n"].to_numpy()
     table[bucket[bucket >= 0], place[bucket >= 0]] = n[bucket >= 0]
     prior[place[bucket < 0]] = n[bucket < 0]
     smooth = table + SMOOTHING
