@@ -119,7 +119,7 @@ def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text
         for batch in batches:
             for part, texts in text_slices(batch):
                 best, score = score_texts(known, texts)
-                told = [known.languages and letter(t) is not None for t in texts]
+                told = [bool(known.languages) and letter(t) is not None for t in texts]
                 langs = [known.languages[b] if t else UNDETERMINED for b, t in zip(best.tolist(), told, strict=True)]
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), pa.array(langs, pa.string()), pa.array(np.where(np.array(told, bool), score, 0.0))], names
