@@ -277,12 +277,8 @@ def round_trip(pages: DataFrame, path: str | None = None, id_col: str = "page_id
         "warc-records",
     )
     responses = read.filter("record_type = 'response'").groupBy(F.col("id").alias("refers_to")).agg(F.max("payload_bytes").alias("_bytes"), F.max("payload_sha1").alias("_sha1"))
-    full = read.join(responses, "refers_to", "left")
-    revisit = F.col("record_type") == "revisit"
-    return full.select(
-        F.col("id").alias(id_col),
-        F.when(revisit, F.col("_bytes")).otherwise(F.col("payload_bytes")).alias("payload_bytes"),
-        F.when(revisit, F.col("_sha1")).otherwise(F.col("payload_sha1")).alias("payload_digest"),
-        "record_type",
-        "refers_to",
-    )
+    # Responses refer to nothing: they stay out of the join, where a null key would meet in one task.
+    revisits = read.filter("record_type = 'revisit'").join(responses, "refers_to", "left")
+    columns = [F.col("id").alias(id_col), "payload_bytes", F.col("payload_sha1").alias("payload_digest"), "record_type", "refers_to"]
+    told = revisits.withColumn("payload_bytes", F.col("_bytes")).withColumn("payload_sha1", F.col("_sha1")).select(*columns)
+    return read.filter("record_type <> 'revisit'").select(*columns).unionByName(told)
