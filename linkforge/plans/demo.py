@@ -129,7 +129,7 @@ class World:
             raise AttributeError(name)
         return self.table(name)
 
-    def _staged(self, name: str, make) -> DataFrame:  # noqa: ANN001
+    def stage(self, name: str, make) -> DataFrame:  # noqa: ANN001
         key = (self.spark.sparkContext.applicationId, self.sf_dir, name)
         if key not in _STAGED:
             _STAGED[key] = staged(make(), name)
@@ -141,7 +141,7 @@ class World:
             rows = self.spark.sql(gazetteer_sql().replace("from part", "from {part}"), part=self.table("part"))
             return self.spark.sql(_escaped(canonical_gazetteer(SPARK, "ROWS")), rows=rows)
 
-        return self._staged("gaz", make)
+        return self.stage("gaz", make)
 
     @property
     def docs(self) -> DataFrame:
@@ -150,20 +150,20 @@ class World:
             rows = self.spark.sql(documents_sql(str(n)).replace("from customer", "from {customer}"), customer=self.table("customer"))
             return self.spark.sql(_escaped(canonical_documents(SPARK, "ROWS")), rows=rows)
 
-        return self._staged("docs", make)
+        return self.stage("docs", make)
 
     @property
     def doc_parts(self) -> DataFrame:
-        return self._staged("doc_parts", lambda: self.spark.sql(_escaped(component_rows(SPARK, "ROWS", "raw_address", "doc_id, target_id")), rows=self.docs))
+        return self.stage("doc_parts", lambda: self.spark.sql(_escaped(component_rows(SPARK, "ROWS", "raw_address", "doc_id, target_id")), rows=self.docs))
 
     @property
     def gaz_parts(self) -> DataFrame:
-        return self._staged("gaz_parts", lambda: self.spark.sql(_escaped(component_rows(SPARK, "ROWS", "full_address", "address_id")), rows=self.gaz))
+        return self.stage("gaz_parts", lambda: self.spark.sql(_escaped(component_rows(SPARK, "ROWS", "full_address", "address_id")), rows=self.gaz))
 
 
     def candidates(self, threshold: float, k: int) -> DataFrame:
         """The k best trigram candidates of each document; the join is made once for each threshold."""
-        every = self._staged(
+        every = self.stage(
             f"candidates_{threshold}",
             lambda: trigram_join(self.docs.filter("can <> ''"), self.gaz, "doc_id", "can", "address_id", "can", threshold),
         )

@@ -317,10 +317,16 @@ portable(
     "nullif(cast(case when a.pc <> '' then 1 else 0 end + case when a.num <> '' then 1 else 0 end + case when a.way <> '' then 1 else 0 end + case when a.city <> '' then 1 else 0 end as double), 0), 6) as score "
     f"from doc_parts a join gaz_parts b on b.address_id = a.target_id",
 )
-portable(
-    "a17_conservative",
-    lambda d: f"select doc_id, address_id, round(confidence, 6) as confidence, review from (select *, row_number() over (partition by doc_id order by confidence desc, address_id) as rn from ({decided(d)}) z where accept or review) y where rn = 1",
-)
+BEST_DECISION = "select doc_id, address_id, round(confidence, 6) as confidence, review from (select *, row_number() over (partition by doc_id order by confidence desc, address_id) as rn from {0} z where accept or review) y where rn = 1"
+
+
+def conservative(w: World) -> DataFrame:
+    """The ladders' rows are staged first: a filter on them would be planned through every step of the parse."""
+    pairs = w.stage("decided", lambda: spark_sql(w, f"select doc_id, address_id, confidence, accept, review from ({decided(SPARK)}) z"))
+    return spark_sql(w, BEST_DECISION.format("decided_pairs"), decided_pairs=pairs)
+
+
+register("a17_conservative", conservative, BEST_DECISION.format(f"({decided(DUCK)})"))
 with_candidates(
     "a21_group_fuzzy", 0.5, 20,
     lambda d: "select app_base, address_id, case when similarity >= 0.8 then 0.85 when similarity >= 0.65 then 0.75 else 0.65 end as confidence from (select d.app_base, c.address_id, c.similarity, row_number() over (partition by d.app_base order by c.similarity desc, c.address_id) as rn "
