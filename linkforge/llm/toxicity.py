@@ -1,19 +1,19 @@
 """Toxicity by class-conditional Kneser-Ney models of toxic and of ordinary texts.
 
 An expression's count in a class is the number of different expressions that it follows
-there, so that copied passages, which repeat their contexts, weigh as one. Counts under
-RARE are discounted wholly and larger ones by DISCOUNT; the discounted mass goes to a
-backoff distribution that both classes share, whose counts are again numbers of
+there, so that copied passages, which repeat their contexts, weigh as one. Counts are
+discounted by DISCOUNT; a backoff distribution that both classes share takes the mass,
+with the same weight in both whatever their sizes. Its counts are again numbers of
 contexts: of how many classes has the expression. An expression that is rare in both
 classes therefore has nearly the same probability under both.
 
-A text's score compares its two length-normalised log-likelihoods over the expressions
-for which the models differ by more than MARGIN; smaller differences are within what
-two samples of one language show. A logistic curve over the comparison, fitted on
-labelled rows that the counts did not use, gives the probability.
+A text's score is a power mean, signed, of all its expressions' log-likelihood
+differences: many small ones, within what two samples of one language show, weigh less
+than a few large ones. A logistic curve over it, fitted on labelled rows that the counts
+did not use, gives the probability.
 
-The fit uses a bounded sample, TRAIN_ROWS labelled rows of each class at most and as many
-of one class as of the other, taken in order of a hash of the id.
+The counts are of all labelled rows of both classes; the curve is fitted on a sample,
+TRAIN_ROWS rows of each class at most, taken in order of a hash of the text.
 """
 
 from __future__ import annotations
@@ -24,14 +24,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bpe import text_slices
 from .storage import materialise
 
 TRAIN_ROWS = 10_000
-RARE, DISCOUNT, MARGIN = 5, 0.75, 3.0
+DISCOUNT, POWER = 0.75, 5
 #: Expressions that the broadcast model holds at most, those with the largest differences.
 VOCABULARY = 1 << 17
 WORD = re.compile(r"[^\W\d_]+")
@@ -43,20 +43,20 @@ def words_of(text: str) -> list[str]:
 
 @dataclass(frozen=True)
 class ToxicityModel:
-    #: log P(expression | toxic) - log P(expression | ordinary), where it is over the margin.
+    #: log P(expression | toxic) - log P(expression | ordinary).
     differences: dict[str, float]
     slope: float = 1.0
     middle: float = 0.0
 
     def compare(self, texts: list[str]) -> np.ndarray:
-        """Signed square root of each text's mean difference; 0 without a word."""
+        """Signed POWER-th root of each text's mean POWER-th power of the differences; 0 without a word."""
         known = self.differences.get
         mean = []
         for text in texts:
             words = words_of(text)
-            mean.append(sum([known(w, 0.0) for w in words]) / max(1, len(words)))
+            mean.append(sum([known(w, 0.0) ** POWER for w in words]) / max(1, len(words)))
         x = np.array(mean)
-        return np.sign(x) * np.sqrt(np.abs(x))
+        return np.sign(x) * np.abs(x) ** (1 / POWER)
 
     def score(self, texts: list[str]) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.slope * (self.compare(texts) - self.middle), -40, 40)))
@@ -82,20 +82,16 @@ def logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(rates[int(np.argmin(loss))]), middle
 
 
-def sample_of(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, rows: int) -> DataFrame:
-    """(label, text, fold): as many labelled texts of one class as of the other, at most rows of each, equal texts once."""
+def labelled_texts(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str) -> DataFrame:
+    """(label, text, fold, _h): all labelled texts, equal texts once."""
     by_id = (
         labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull())
         .groupBy(F.col(id_col).alias("_id"))
         .agg(F.max((F.col(label_col) > 0).cast("int")).alias("label"))
     )
-    have = {r["label"]: r["n"] for r in by_id.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
-    each = min(rows, have.get(0, 0), have.get(1, 0))
-    order = [F.xxhash64("_id"), F.col("_id")]
-    chosen = by_id.filter("label = 0").orderBy(*order).limit(each).unionByName(by_id.filter("label = 1").orderBy(*order).limit(each))
-    texts = docs.join(F.broadcast(chosen), docs[id_col] == chosen["_id"]).select("label", F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    texts = docs.join(by_id, docs[id_col] == by_id["_id"]).select("label", F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     once = texts.groupBy(F.xxhash64("text").alias("_h"), "text").agg(F.max("label").alias("label"))
-    return once.select("label", "text", F.pmod(F.shiftright("_h", 7), F.lit(5)).cast("int").alias("fold"))
+    return once.select("label", "text", F.pmod(F.shiftright("_h", 7), F.lit(5)).cast("int").alias("fold"), "_h")
 
 
 def train(
@@ -106,7 +102,7 @@ def train(
     labels: (id, label 0 or 1); the highest label of an id counts, and of a text. Without
     both classes nothing is learned and no text counts as toxic.
     """
-    sample, _ = materialise(sample_of(docs, labels, id_col, text_col, label_col, rows), "toxicity-sample")
+    sample, _ = materialise(labelled_texts(docs, labels, id_col, text_col, label_col), "toxicity-sample")
 
     def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -130,20 +126,18 @@ def train(
     words, _ = materialise(
         pairs.groupBy("word").agg(*[F.count_if(F.col("class") == c).alias(f"n{c}") for c in (0, 1)]), "toxicity-words"
     )
-    discount = [F.when(F.col(f"n{c}") < RARE, F.col(f"n{c}").cast("double")).otherwise(DISCOUNT) for c in (0, 1)]
-    total = words.agg(
-        *[F.coalesce(F.sum(f"n{c}"), F.lit(0)).cast("double").alias(f"n{c}") for c in (0, 1)],
-        *[F.coalesce(F.sum(F.when(F.col(f"n{c}") > 0, discount[c])), F.lit(0.0)).alias(f"d{c}") for c in (0, 1)],
-        F.coalesce(F.sum((F.col("n0") > 0).cast("int") + (F.col("n1") > 0).cast("int")), F.lit(0)).cast("double").alias("types"),
-    ).first()
+    total = words.agg(*[F.coalesce(F.sum(f"n{c}"), F.lit(0)).cast("double").alias(f"n{c}") for c in (0, 1)]).first()
     if not total["n0"] or not total["n1"]:
         return ToxicityModel({}, 1.0, float("inf"))
-    shared = ((F.col("n0") > 0).cast("int") + (F.col("n1") > 0).cast("int")) / F.lit(total["types"])
-    p = [(F.col(f"n{c}") - discount[c]) / total[f"n{c}"] + total[f"d{c}"] / total[f"n{c}"] * shared for c in (0, 1)]
-    differing = (
-        words.filter(F.greatest("n0", "n1") >= RARE).select("word", F.log(p[1] / p[0]).alias("x"))
-        .filter(F.abs("x") > MARGIN).orderBy(F.desc(F.abs("x")), "word").limit(VOCABULARY)
-    )
+    rate = [F.col(f"n{c}") / F.lit(total[f"n{c}"]) for c in (0, 1)]
+    lost = [F.least(F.col(f"n{c}"), F.lit(DISCOUNT)) / F.lit(total[f"n{c}"]) for c in (0, 1)]
+    of = F.count_if(F.col("n0") > 0) + F.count_if(F.col("n1") > 0)
+    mass = words.agg(*[F.sum(lost[c]).alias(f"d{c}") for c in (0, 1)], of.cast("double").alias("types")).first()
+    # The larger class's backoff weighs less for its size alone: both get the same weight.
+    weight = F.lit(max(mass["d0"], mass["d1"]))
+    shared = ((F.col("n0") > 0).cast("int") + (F.col("n1") > 0).cast("int")) / F.lit(mass["types"])
+    p = [rate[c] - lost[c] + weight * shared for c in (0, 1)]
+    differing = words.select("word", F.log(p[1] / p[0]).alias("x")).filter("x != 0").orderBy(F.desc(F.abs("x")), "word").limit(VOCABULARY)
     model = ToxicityModel({r["word"]: r["x"] for r in differing.collect()})
     broadcast = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -152,7 +146,9 @@ def train(
             for part, texts in text_slices(batch):
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(broadcast.value.compare(texts))], ["label", "x"])
 
-    held = sample.filter("fold = 0").select("label", "text").mapInArrow(compared, "label int, x double").toPandas()
+    each = Window.partitionBy("label").orderBy("_h", "text")
+    curve = sample.filter("fold = 0").withColumn("_nth", F.row_number().over(each)).filter(F.col("_nth") <= rows)
+    held = curve.select("label", "text").mapInArrow(compared, "label int, x double").toPandas()
     return ToxicityModel(model.differences, *logistic(held["x"].to_numpy(), held["label"].to_numpy()))
 
 
