@@ -32,11 +32,11 @@ def trigram_sql(t: float, k: int, left: str, left_key: str, left_text: str, righ
     )
 
 
-def with_candidates(name: str, t: float, k: int, sql: Callable[[Dialect], str], of: str = "can") -> None:
-    """A query over cand(doc_id, address_id, similarity), the trigram candidates of each document."""
+def with_candidates(name: str, t: float, k: int, sql: Callable[[Dialect], str], of: str = "can", candidates: Callable[[World], DataFrame] | None = None) -> None:
+    """A query over cand(doc_id, address_id, similarity), the trigram candidates of each document, or candidates() in Spark."""
 
     def run(w: World) -> DataFrame:
-        cand = w.candidates(t, k)
+        cand = candidates(w) if candidates else w.candidates(t, k)
         return spark_sql(w, sql(SPARK), cand=cand)
 
     cand = trigram_sql(t, k, "docs", "doc_id", "can", "gaz", "address_id", "can")
@@ -45,6 +45,16 @@ def with_candidates(name: str, t: float, k: int, sql: Callable[[Dialect], str],
     register(name, run, f"{head}, {body[5:]}" if body[:5] == "with " else f"{head} {body}")
 
 
+def compared(w: World, pairs: DataFrame) -> DataFrame:
+    """pairs(doc_id, address_id) with the trigram similarity of their texts, whatever it is."""
+    return spark_sql(w, f"select p.doc_id, p.address_id, {S.trigram(SPARK, 'd.can', 'g.can')} as similarity from pairs_of p join docs d on d.doc_id = p.doc_id join gaz g on g.address_id = p.address_id", pairs_of=pairs)
+
+
+def same_postcode(w: World) -> DataFrame:
+    """Every address of the document's postcode."""
+    return compared(w, spark_sql(w, "select d.doc_id, g.address_id from docs d join gaz g on g.pc = d.pc where d.pc <> ''"))
+
+
 # -- equi joins ---------------------------------------------------------------------
 portable("j1_uprn_equi", lambda d: f"select d.doc_id, g.address_id, g.uprn from docs d join gaz g on g.uprn = d.legacy")
 portable("j2_canonical_equi", lambda d: f"select d.doc_id, g.address_id from docs d join gaz g on g.can = d.can")
@@ -121,6 +131,7 @@ with_candidates(
     "j14_postcode", 0.5, 50,
     lambda d: "select c.doc_id, c.address_id, round(0.6 * c.similarity + 0.4 * case when g.num = d.num and d.num <> '' then 1.0 else 0.5 end, 6) as score "
     f"from cand c join (select *, {d.ext('can', r'^(\d+[A-Z]?)\b')} as num from docs x) d on d.doc_id = c.doc_id join (select *, house as num from gaz y) g on g.address_id = c.address_id and g.pc = d.pc where d.pc <> ''",
+    candidates=same_postcode,
 )
 
 
