@@ -55,6 +55,11 @@ def same_postcode(w: World) -> DataFrame:
     return compared(w, spark_sql(w, "select d.doc_id, g.address_id from docs d join gaz g on g.pc = d.pc where d.pc <> ''"))
 
 
+def within_radius(w: World) -> DataFrame:
+    """Every address at most 100 m from the document's place."""
+    return compared(w, joins.radius_join(w.docs, w.gaz, "doc_id", "address_id", 100.0).select("doc_id", "address_id"))
+
+
 # -- equi joins ---------------------------------------------------------------------
 portable("j1_uprn_equi", lambda d: f"select d.doc_id, g.address_id, g.uprn from docs d join gaz g on g.uprn = d.legacy")
 portable("j2_canonical_equi", lambda d: f"select d.doc_id, g.address_id from docs d join gaz g on g.can = d.can")
@@ -276,6 +281,7 @@ with_candidates(
 with_candidates(
     "d7_spatial_score", 0.6, 20,
     lambda d: f"select doc_id, address_id, round(least(1.0, 0.6 * {S.decay(d, 'metres', 50)} + 0.4 * trigram + case when trigram >= 0.8 then 0.10 when trigram >= 0.6 then 0.05 else 0.0 end + case when metres <= 25 then 0.15 when metres <= 50 then 0.10 else 0.0 end + case when same_number then 0.15 else 0.0 end + 0.10 * street), 6) as score from ({features(d)}) f where metres is not null and metres <= 100",
+    candidates=within_radius,
 )
 with_candidates(
     "dd8_logistic", 0.6, 5,
