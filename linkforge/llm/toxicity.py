@@ -1,19 +1,20 @@
 """Toxicity by class-conditional Kneser-Ney models of toxic and of ordinary texts.
 
-An expression's count in a class is the number of different expressions that it follows
-there, so that copied passages, which repeat their contexts, weigh as one. Counts are
-discounted by DISCOUNT; a backoff distribution that both classes share takes the mass,
-with the same weight in both whatever their sizes. Its counts are again numbers of
-contexts: of how many classes has the expression. An expression that is rare in both
-classes therefore has nearly the same probability under both.
+An expression's count in a class is the number of different words that it follows there,
+so that copied passages, which repeat their contexts, weigh as one. Counts are discounted
+by DISCOUNT; a backoff distribution that both classes share takes the mass, with the same
+weight in both whatever their sizes. Its counts are numbers of classes that have the
+expression, so one that is rare in both has nearly the same probability under both.
 
-A text's score is a power mean, signed, of all its expressions' log-likelihood
-differences: many small ones, within what two samples of one language show, weigh less
-than a few large ones. A logistic curve over it, fitted on labelled rows that the counts
-did not use, gives the probability.
+Counts are of all labelled rows of both classes. Expressions are hashed into 2 ** BITS
+buckets: the model has a fixed size however many expressions there are, none is left out,
+and those of a bucket share its counts.
 
-The counts are of all labelled rows of both classes; the curve is fitted on a sample,
-TRAIN_ROWS rows of each class at most, taken in order of a hash of the text.
+A text's score is a power mean, signed, of all its expressions' log-likelihood
+differences, its length divided out: many small ones, within what two samples of one
+language show, weigh less than a few large ones. A logistic curve over it, fitted on
+labelled rows that the counts did not use, gives the probability. The curve is fitted on a
+sample, TRAIN_ROWS rows of each class at most, taken in order of a hash of the text.
 """
 
 from __future__ import annotations
@@ -21,19 +22,24 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import text_slices
-from .storage import materialise
+from .storage import discard, materialise
 
 TRAIN_ROWS = 10_000
 DISCOUNT, POWER = 0.75, 5
-#: Expressions that the broadcast model holds at most, those with the largest differences.
-VOCABULARY = 1 << 17
+#: Buckets of expressions, as a power of two: 16 MB of differences are broadcast.
+BITS = 22
+#: Words whose hashes a worker process keeps.
+CACHE_WORDS = 500_000
+#: The score at which a text counts as toxic where no curve can be fitted, in nats.
+UNFITTED_MIDDLE = 1.0
 WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -41,41 +47,74 @@ def words_of(text: str) -> list[str]:
     return WORD.findall(text.lower())
 
 
+class Hashes(dict):
+    """XXH64 of the words seen so far."""
+
+    def __missing__(self, word: str) -> int:
+        from xxhash import xxh64_intdigest
+
+        if len(self) >= CACHE_WORDS:
+            self.clear()
+        found = self[word] = xxh64_intdigest(word.encode("utf-8", "surrogatepass"))
+        return found
+
+
+_HASHES = Hashes()
+
+
+def hashed(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of all texts in a row, and each text's number of words."""
+    words = [words_of(t) for t in texts]
+    sizes = np.fromiter(map(len, words), np.int64, len(words))
+    known = _HASHES.__getitem__
+    return np.fromiter(map(known, chain.from_iterable(words)), np.uint64, int(sizes.sum())), sizes
+
+
+def buckets(words: np.ndarray, bits: int) -> np.ndarray:
+    return words >> np.uint64(64 - bits)
+
+
 @dataclass(frozen=True)
 class ToxicityModel:
-    #: log P(expression | toxic) - log P(expression | ordinary).
-    differences: dict[str, float]
+    #: log P(expression | toxic) - log P(expression | ordinary) by bucket, or nothing learned.
+    differences: np.ndarray
     slope: float = 1.0
-    middle: float = 0.0
+    middle: float = float("inf")
 
     def compare(self, texts: list[str]) -> np.ndarray:
         """Signed POWER-th root of each text's mean POWER-th power of the differences; 0 without a word."""
-        known = self.differences.get
-        mean = []
-        for text in texts:
-            words = words_of(text)
-            mean.append(sum([known(w, 0.0) ** POWER for w in words]) / max(1, len(words)))
-        x = np.array(mean)
-        return np.sign(x) * np.abs(x) ** (1 / POWER)
+        words, sizes = hashed(texts)
+        if not len(words) or not len(self.differences):
+            return np.zeros(len(texts))
+        each = self.differences[buckets(words, int(len(self.differences)).bit_length() - 1)].astype(np.float64) ** POWER
+        sums = np.diff(np.concatenate(([0.0], np.cumsum(each)))[np.concatenate(([0], np.cumsum(sizes)))]) if len(texts) > 1 else np.array([each.sum()])
+        mean = sums / np.maximum(1, sizes)
+        return np.sign(mean) * np.abs(mean) ** (1 / POWER)
 
     def score(self, texts: list[str]) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.slope * (self.compare(texts) - self.middle), -40, 40)))
 
 
 def logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Slope and middle of a curve through the split with the fewest errors, its slope the likeliest (0 or more)."""
+    """Slope and middle of a curve through the split with the fewest errors, its slope the likeliest (0 or more).
+
+    The middle is above 0, the score of no difference. With rows of one class, or none,
+    the curve has slope 1 and UNFITTED_MIDDLE.
+    """
     if not len(y) or y.min() == y.max():
-        return 1.0, float(np.inf if not len(y) or not y.max() else -np.inf)
+        return 1.0, UNFITTED_MIDDLE
     order = np.argsort(x, kind="stable")
     sorted_x, sorted_y = x[order], y[order]
     errors = np.concatenate(([0], np.cumsum(sorted_y))) + np.concatenate((np.cumsum((1 - sorted_y)[::-1])[::-1], [0]))
     inner = np.concatenate(([True], np.diff(sorted_x) > 0, [True]))
-    errors = np.where(inner, errors, len(y) + 1)
+    edges = np.concatenate(([sorted_x[0] - 1e-3], sorted_x, [sorted_x[-1] + 1e-3]))
+    middles = (edges[:-1] + edges[1:]) / 2
+    errors = np.where(inner & (middles > 0), errors, len(y) + 1)
+    if errors.min() > len(y):
+        return 1.0, UNFITTED_MIDDLE
     # Of equally good splits the middle one.
     best = np.flatnonzero(errors == errors.min())
-    at = int(best[len(best) // 2])
-    edges = np.concatenate(([sorted_x[0] - 1e-3], sorted_x, [sorted_x[-1] + 1e-3]))
-    middle = float(edges[at] + edges[at + 1]) / 2
+    middle = float(middles[int(best[len(best) // 2])])
     z = x - middle
     rates = np.geomspace(0.1, 1000, 200) / max(float(np.abs(z).mean()), 1e-9)
     loss = [np.logaddexp(0, np.where(y == 1, -r * z, r * z)).mean() + 1e-4 * np.log(r) ** 2 for r in rates]
@@ -83,81 +122,95 @@ def logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 
 
 def labelled_texts(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str) -> DataFrame:
-    """(label, text, fold, _h): all labelled texts, equal texts once."""
+    """(label, text, fold, h): all labelled rows; rows with equal texts are in one fold."""
     by_id = (
         labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull())
         .groupBy(F.col(id_col).alias("_id"))
         .agg(F.max((F.col(label_col) > 0).cast("int")).alias("label"))
     )
-    texts = docs.join(by_id, docs[id_col] == by_id["_id"]).select("label", F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    once = texts.groupBy(F.xxhash64("text").alias("_h"), "text").agg(F.max("label").alias("label"))
-    return once.select("label", "text", F.pmod(F.shiftright("_h", 7), F.lit(5)).cast("int").alias("fold"), "_h")
+    rows = docs.select(F.col(id_col).alias("_doc"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    h = F.xxhash64("text")
+    return rows.join(by_id, F.col("_doc") == F.col("_id")).select("label", "text", F.pmod(F.shiftright(h, 7), F.lit(5)).cast("int").alias("fold"), h.alias("h"))
 
 
-def train(
-    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", rows: int = TRAIN_ROWS
-) -> ToxicityModel:
-    """Fit on labelled texts; a fifth of them is kept for the curve.
-
-    labels: (id, label 0 or 1); the highest label of an id counts, and of a text. Without
-    both classes nothing is learned and no text counts as toxic.
-    """
-    sample, _ = materialise(labelled_texts(docs, labels, id_col, text_col, label_col), "toxicity-sample")
+def context_counts(rows: DataFrame, bits: int = BITS) -> DataFrame:
+    """(bucket, n0, n1): by bucket, the number of different words before its expressions in the texts of each class of rows(label, text)."""
 
     def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            classes = batch.column(0).to_pylist()
+            classes = batch.column(0).to_numpy().astype(np.uint64)
             done = 0
             for part, texts in text_slices(batch):
-                seen: set[tuple[int, str, str]] = set()
-                for c, text in zip(classes[done : done + part.num_rows], texts, strict=True):
-                    words = words_of(text)
-                    seen.update((c, word, before) for before, word in zip(["", *words], words))  # noqa: B905
+                words, sizes = hashed(texts)
+                before = np.concatenate((np.zeros(1, np.uint64), words[:-1])) if len(words) else words
+                starts = np.cumsum(sizes) - sizes
+                before[starts[sizes > 0]] = 0
+                of = np.repeat(classes[done : done + part.num_rows], sizes)
                 done += part.num_rows
-                columns = list(zip(*seen, strict=True)) if seen else [(), (), ()]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(columns[0], pa.int32()), pa.array(columns[1], pa.string()), pa.array(columns[2], pa.string())], ["class", "word", "before"]
-                )
-
-    pairs = (
-        sample.filter("fold > 0").select("label", "text").mapInArrow(contexts, "class int, word string, before string")
-        .select("class", "word", F.xxhash64("before").alias("before")).distinct()
-    )
-    words, _ = materialise(
-        pairs.groupBy("word").agg(*[F.count_if(F.col("class") == c).alias(f"n{c}") for c in (0, 1)]), "toxicity-words"
-    )
-    total = words.agg(*[F.coalesce(F.sum(f"n{c}"), F.lit(0)).cast("double").alias(f"n{c}") for c in (0, 1)]).first()
-    if not total["n0"] or not total["n1"]:
-        return ToxicityModel({}, 1.0, float("inf"))
-    rate = [F.col(f"n{c}") / F.lit(total[f"n{c}"]) for c in (0, 1)]
-    lost = [F.least(F.col(f"n{c}"), F.lit(DISCOUNT)) / F.lit(total[f"n{c}"]) for c in (0, 1)]
-    of = F.count_if(F.col("n0") > 0) + F.count_if(F.col("n1") > 0)
-    mass = words.agg(*[F.sum(lost[c]).alias(f"d{c}") for c in (0, 1)], of.cast("double").alias("types")).first()
+                # Bucket, class and 63 - bits bits of the word before, in one number.
+                code = buckets(words, bits) << np.uint64(64 - bits) | of << np.uint64(63 - bits) | before * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(bits + 1)
+                yield pa.RecordBatch.from_arrays([pa.array(np.unique(code).view(np.int64))], ["code"])
+
+    seen = rows.select("label", "text").mapInArrow(contexts, "code bigint").distinct()
+    of = F.shiftrightunsigned("code", 63 - bits).bitwiseAND(F.lit(1))
+    return seen.groupBy(F.shiftrightunsigned("code", 64 - bits).cast("int").alias("bucket")).agg(*[F.count_if(of == c).alias(f"n{c}") for c in (0, 1)])
+
+
+def kneser_ney(bucket: np.ndarray, counts: tuple[np.ndarray, np.ndarray], bits: int = BITS) -> np.ndarray:
+    """Differences by bucket from the context counts of ordinary and of toxic texts; empty without both."""
+    total = [float(n.sum()) for n in counts]
+    if not all(total):
+        return np.zeros(0, np.float32)
+    lost = [np.minimum(n, DISCOUNT) / t for n, t in zip(counts, total, strict=True)]
     # The larger class's backoff weighs less for its size alone: both get the same weight.
-    weight = F.lit(max(mass["d0"], mass["d1"]))
-    shared = ((F.col("n0") > 0).cast("int") + (F.col("n1") > 0).cast("int")) / F.lit(mass["types"])
-    p = [rate[c] - lost[c] + weight * shared for c in (0, 1)]
-    differing = words.select("word", F.log(p[1] / p[0]).alias("x")).filter("x != 0").orderBy(F.desc(F.abs("x")), "word").limit(VOCABULARY)
-    model = ToxicityModel({r["word"]: r["x"] for r in differing.collect()})
-    broadcast = docs.sparkSession.sparkContext.broadcast(model)
+    weight = max(float(x.sum()) for x in lost)
+    classes = [(n > 0).astype(np.float64) for n in counts]
+    shared = (classes[0] + classes[1]) / (classes[0].sum() + classes[1].sum())
+    p = [n / t - x + weight * shared for n, t, x in zip(counts, total, lost, strict=True)]
+    found = np.zeros(1 << bits, np.float32)
+    found[bucket] = np.log(p[1] / p[0])
+    return found
+
+
+def train(
+    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", rows: int = TRAIN_ROWS, bits: int = BITS
+) -> ToxicityModel:
+    """Fit on labelled texts; a fifth of them is kept for the curve, at most rows of each class of that fifth.
+
+    labels: (id, label 0 or 1); the highest label of an id counts; null ids and labels
+    are not read. Texts are read whole; null and empty ones add nothing. Without both
+    classes nothing is learned and no text counts as toxic; if the kept fifth has one
+    class only, logistic() says which curve holds. Other columns of both tables are not
+    read, whatever their names; repeated rows change no count.
+    """
+    sample, path = materialise(labelled_texts(docs, labels, id_col, text_col, label_col), "toxicity-sample")
+    table = context_counts(sample.filter("fold > 0"), bits).toArrow()
+    differences = kneser_ney(table.column("bucket").to_numpy(), tuple(table.column(f"n{c}").to_numpy().astype(np.float64) for c in (0, 1)), bits)
+    if not len(differences):
+        discard(docs.sparkSession, path)
+        return ToxicityModel(differences)
+    broadcast = docs.sparkSession.sparkContext.broadcast(ToxicityModel(differences))
 
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, texts in text_slices(batch):
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(broadcast.value.compare(texts))], ["label", "x"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(broadcast.value.compare(texts)), part.column(2)], ["label", "x", "h"])
 
-    each = Window.partitionBy("label").orderBy("_h", "text")
-    curve = sample.filter("fold = 0").withColumn("_nth", F.row_number().over(each)).filter(F.col("_nth") <= rows)
-    held = curve.select("label", "text").mapInArrow(compared, "label int, x double").toPandas()
-    return ToxicityModel(model.differences, *logistic(held["x"].to_numpy(), held["label"].to_numpy()))
+    every = sample.filter("fold = 0").select("label", "text", "h").mapInArrow(compared, "label int, x double, h bigint")
+    held, held_path = materialise(every, "toxicity-curve")
+    chosen = [held.filter(F.col("label") == c).orderBy("h", "x").limit(rows).toArrow() for c in (0, 1)]
+    x, y = (np.concatenate([t.column(c).to_numpy() for t in chosen]) for c in ("x", "label"))
+    for done in (path, held_path):
+        discard(docs.sparkSession, done)
+    return ToxicityModel(differences, *logistic(x, y))
 
 
 def score_toxicity(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each row of docs: id and score (0 to 1, higher: likelier toxic).
 
     Whole texts are read; a null or empty text, or one without a word, gets the score of
-    no difference between the models. Repeated rows are scored each; other columns are
-    not read.
+    no difference between the models, which is under one half. Repeated rows are scored
+    each; an empty table gives no rows; other columns are not read.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
