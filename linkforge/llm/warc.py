@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .storage import materialise, new_path
+from .storage import discard, materialise, new_path
 
 MAGIC = "WARC/1.0\r\n"
 BETWEEN = "\r\n\r\n"
@@ -31,49 +31,48 @@ PROFILE = "http://netpreserve.org/warc/1.0/revisit/identical-payload-digest"
 DATE = "1970-01-01T00:00:00Z"
 
 
-def record_id(page_id: Column) -> Column:
-    return F.concat(F.lit("<urn:page:"), page_id.cast("string"), F.lit(">"))
+def record_id(page_id: Column, sha1: Column) -> Column:
+    """Of a page and its payload; rows that repeat both are one record, written each."""
+    return F.concat(F.lit("<urn:page:"), F.coalesce(page_id.cast("string"), F.lit("")), F.lit(":"), sha1, F.lit(">"))
 
 
 def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> None:
-    """Write one record for each row of pages with an id.
+    """Write one record for each row of pages.
 
     Of the rows with equal payloads of at least REVISIT_BYTES bytes the one with the
     largest id is a response and the others are revisits that refer to it; smaller
-    payloads are responses all. A null payload is empty. Line ends in urls are dropped.
-    Rows that repeat an id are written each; with equal payloads of the revisit size only
-    the id itself is a response, and so all of them are.
+    payloads are responses all. A null payload is empty; a null id is smaller than any.
+    Line ends in urls are dropped. Rows that repeat an id are written each, with their own
+    payloads; of rows that repeat a payload's largest id all are responses.
     """
-    rows = pages.filter(F.col(id_col).isNotNull()).select(
+    rows = pages.select(
         F.col(id_col).cast("bigint").alias("id"),
         F.regexp_replace(F.coalesce(F.col(url_col).cast("string"), F.lit("")), r"[\r\n]", "").alias("url"),
         F.coalesce(F.col(html_col).cast("binary"), F.lit("").cast("binary")).alias("payload"),
     )
     rows = rows.withColumn("size", F.octet_length("payload")).withColumn("sha1", F.sha1("payload"))
     # Equal payloads meet by a 256-bit digest; only those that have copies come back.
-    digest = F.when(F.col("size") >= REVISIT_BYTES, F.sha2("payload", 256))
-    keyed = rows.withColumn("key", digest)
-    first = (
-        keyed.filter(F.col("key").isNotNull()).groupBy("key").agg(F.max("id").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
-    )
-    linked = (
-        keyed.filter(F.col("key").isNotNull()).select("id", "key").join(first, "key").filter("id <> first").select("id", "first").distinct()
-    )
-    revisits, _ = materialise(linked, "revisits")
-    marked = rows.join(revisits, "id", "left")
+    keyed = rows.withColumn("key", F.when(F.col("size") >= REVISIT_BYTES, F.sha2("payload", 256)))
+    large = keyed.filter(F.col("key").isNotNull()).select("id", "key")
+    first = large.groupBy("key").agg(F.max("id").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1 and first is not null").drop("n")
+    linked = large.join(first, "key").filter("not id <=> first").select(F.col("id").alias("_id"), F.col("key").alias("_key"), "first").distinct()
+    revisits, staged = materialise(linked, "revisits")
+    # A payload's rows meet by their ids too, so a group of copies of any size is spread.
+    marked = keyed.join(revisits, F.col("id").eqNullSafe(F.col("_id")) & (F.col("key") == F.col("_key")), "left")
     http = F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n").cast("binary")
     revisit = F.col("first").isNotNull()
     block = F.when(revisit, http).otherwise(F.concat(http, F.col("payload")))
     headers = F.concat(
         F.lit("WARC/1.0\r\nWARC-Type: "), F.when(revisit, F.lit("revisit")).otherwise(F.lit("response")),
-        F.lit("\r\nWARC-Record-ID: "), record_id(F.col("id")),
+        F.lit("\r\nWARC-Record-ID: "), record_id(F.col("id"), F.col("sha1")),
         F.lit(f"\r\nWARC-Date: {DATE}\r\nWARC-Target-URI: "), F.col("url"),
         F.lit("\r\nWARC-Payload-Digest: sha1:"), F.col("sha1"),
-        F.when(revisit, F.concat(F.lit(f"\r\nWARC-Profile: {PROFILE}\r\nWARC-Refers-To: "), record_id(F.col("first")))).otherwise(F.lit("")),
+        F.when(revisit, F.concat(F.lit(f"\r\nWARC-Profile: {PROFILE}\r\nWARC-Refers-To: "), record_id(F.col("first"), F.col("sha1")))).otherwise(F.lit("")),
         F.lit("\r\nContent-Type: application/http; msgtype=response\r\nContent-Length: "), F.octet_length(block).cast("string"),
         F.lit("\r\n\r\n"),
     )
     marked.select(F.concat(headers.cast("binary"), block).cast("string").alias("value")).write.option("lineSep", BETWEEN).text(path)
+    discard(pages.sparkSession, staged)
 
 
 def _lines(spark: SparkSession, path: str) -> DataFrame:
@@ -82,10 +81,14 @@ def _lines(spark: SparkSession, path: str) -> DataFrame:
     return lines.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), "value")
 
 
+def _from(data: Column, start: Column) -> Column:
+    return F.substring(data, start, F.greatest(F.octet_length(data) - start + 1, F.lit(0)))
+
+
 def _split(value: Column) -> tuple[Column, Column]:
     """What stands before the first empty line, as text, and all that follows it, as bytes; null without one."""
     head = F.when(F.instr(value, "\r\n\r\n") > 0, F.substring_index(value, "\r\n\r\n", 1))
-    return head, F.substring(value.cast("binary"), F.octet_length(head) + 5, F.lit(1 << 30))
+    return head, _from(value.cast("binary"), F.octet_length(head) + 5)
 
 
 def _header(head: Column, name: str) -> Column:
@@ -96,7 +99,7 @@ def _header(head: Column, name: str) -> Column:
 def _payload(value: Column) -> Column:
     """The payload of a record's text after the magic, _length being its block's: what follows the HTTP headers."""
     _, rest = _split(value)
-    block = F.substring(rest, F.lit(1), F.col("_length").cast("int"))
+    block = F.substring(rest, F.lit(1), F.least(F.col("_length"), F.octet_length(rest).cast("bigint")).cast("int"))
     return _split(block.cast("string"))[1]
 
 
@@ -108,7 +111,7 @@ def candidates(spark: SparkSession, path: str) -> DataFrame:
     """
     head, _ = _split(F.col("value"))
     lines = _lines(spark, path).select("*", F.monotonically_increasing_id().alias("_m"), head.alias("head"))
-    lines = lines.withColumn("_length", F.regexp_extract("head", r"(?i)(?:^|\r\n)Content-Length: *(\d{1,9}) *(?:\r|$)", 1).try_cast("bigint"))
+    lines = lines.withColumn("_length", F.regexp_extract("head", r"(?i)(?:^|\r\n)Content-Length: *(\d{1,18}) *(?:\r|$)", 1).try_cast("bigint"))
     payload = _payload(F.col("value"))
     table, _ = materialise(
         lines.select(
@@ -263,22 +266,19 @@ def read_archives(spark: SparkSession, path: str, with_payload: bool = False) ->
 def round_trip(pages: DataFrame, path: str | None = None, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """Write pages to archives and read them back: one row a page: id, payload_bytes, payload_digest, record_type, refers_to.
 
-    A revisit's payload is that of the response that it refers to.
+    A revisit's payload is that of the response that it refers to. Rows that repeat an id
+    and rows without one come back each; an empty table gives no rows; other columns are
+    not read.
     """
     spark = pages.sparkSession
     path = path or new_path(spark, "warc")
     write_archives(pages, path, id_col, url_col, html_col)
-    number = lambda c: F.regexp_extract(c, r"<urn:page:(-?\d+)>", 1).cast("bigint")
-    read, _ = materialise(
-        read_archives(spark, path).select(
-            number("record_id").alias("id"), "record_type", number("refers_to").alias("refers_to"), "payload_bytes", "payload_sha1",
-            F.substring_index("payload_digest", "sha1:", -1).alias("told"),
-        ),
-        "warc-records",
-    )
-    responses = read.filter("record_type = 'response'").groupBy(F.col("id").alias("refers_to")).agg(F.max("payload_bytes").alias("_bytes"), F.max("payload_sha1").alias("_sha1"))
+    number = lambda c: F.regexp_extract(c, r"<urn:page:(-?\d+):", 1).try_cast("bigint")
+    read, _ = materialise(read_archives(spark, path).select("record_id", "record_type", "refers_to", "payload_bytes", "payload_sha1"), "warc-records")
+    is_revisit = F.col("record_type") == "revisit"
+    # Records with one id hold one payload.
+    responses = read.filter(~is_revisit).groupBy(F.col("record_id").alias("refers_to")).agg(F.max(F.struct("payload_bytes", "payload_sha1")).alias("_of"))
+    columns = [number("record_id").alias(id_col), "payload_bytes", F.col("payload_sha1").alias("payload_digest"), "record_type", number("refers_to").alias("refers_to")]
     # Responses refer to nothing: they stay out of the join, where a null key would meet in one task.
-    revisits = read.filter("record_type = 'revisit'").join(responses, "refers_to", "left")
-    columns = [F.col("id").alias(id_col), "payload_bytes", F.col("payload_sha1").alias("payload_digest"), "record_type", "refers_to"]
-    told = revisits.withColumn("payload_bytes", F.col("_bytes")).withColumn("payload_sha1", F.col("_sha1")).select(*columns)
-    return read.filter("record_type <> 'revisit'").select(*columns).unionByName(told)
+    told = read.filter(is_revisit).drop("payload_bytes", "payload_sha1").join(responses, "refers_to", "left").select("*", "_of.*").select(*columns)
+    return read.filter(~is_revisit).select(*columns).unionByName(told)

@@ -43,3 +43,17 @@ def test_payloads_come_back(spark):
 
 def test_empty_table(spark):
     assert warc.round_trip(pages_of(spark, [])).collect() == []
+
+
+def test_repeated_and_missing_ids_keep_their_own_payloads(spark):
+    a, b, c = "a" * 1200, "b" * 1200, "c" * 1200
+    rows = [(5, "u", a, ""), (5, "u", b, ""), (5, "u", c, ""), (9, "u", a, ""), (8, "u", b, ""), (9, "u", a, ""), (None, "u", a, ""), (None, "u", "d" * 1200, ""), (None, None, None, "")]
+    got = sorted(map(tuple, warc.round_trip(pages_of(spark, rows)).collect()), key=str)
+    largest = {a: 9, b: 8, c: 5, "d" * 1200: None, None: None}
+    want = []
+    for n, _, html, _ in rows:
+        data = (html or "").encode()
+        first = largest[html]
+        revisit = first is not None and n != first
+        want.append((n, len(data), hashlib.sha1(data).hexdigest(), "revisit" if revisit else "response", first if revisit else None))
+    assert got == sorted(want, key=str)
