@@ -1,10 +1,12 @@
 """Embedding near-duplicates by iterative quantisation and multi-index Hamming tables.
 
-A rotation learned on a bounded sample turns vectors, unit length and centred on the
-sample, into binary codes with balanced bits. Codes are cut into chunks; a table's key is
-a label with some of the chunks, and vectors that agree on all chunks of one table are
-candidates, which the original vectors decide in double precision. The number of chunks
-in a key grows with the largest label, so buckets stay small at any size.
+Rotations learned on a bounded sample turn vectors, unit length and centred on the
+sample, into binary codes with balanced bits. Each table's key is a label with some bits
+of the codes, bits of its own; vectors that agree on the bits of one table are candidates,
+which the original vectors decide in double precision. The number of bits in a key grows
+with the largest label, so buckets stay small at any size, and the number of tables grows
+with the bits, so that a pair at the threshold is missed with the same probability, MISSED,
+at any size (taking a bit to differ as often as the angle's share of a half turn).
 
 A pair that meets in several tables counts in the first of them only, so each task can
 pass on counts and one edge a member, never pairs. Equal vectors are one class with a
@@ -15,7 +17,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -27,15 +28,17 @@ from .simhash import join_roots, whole_groups
 from .storage import materialise
 
 THRESHOLD = 0.98
-#: Vectors that the rotation is learned from, rounds of learning, bits of a chunk, chunks of a code at most.
-SAMPLE_ROWS, ROUNDS, CHUNK_BITS, MAX_CHUNKS = 10_000, 30, 8, 8
-#: Classes that a bucket should have on average at most.
-BUCKET = 64
+#: Vectors that the rotations are learned from, and rounds of learning.
+SAMPLE_ROWS, ROUNDS = 10_000, 30
+#: Least and most bits of a table's key, in whole bytes; classes that a bucket should have on average at most.
+LEAST_BITS, MOST_BITS, BUCKET = 8, 32, 64
+#: The share of pairs just at the threshold that no table may have, by the model of the docstring.
+MISSED = 0.002
 
 
 @dataclass(frozen=True)
 class Rotation:
-    """code = sign((unit vector - middle) @ axes), as chunks of CHUNK_BITS bits."""
+    """code = sign((unit vector - middle) @ axes), packed in bytes, table by table."""
 
     middle: np.ndarray
     axes: np.ndarray
@@ -45,17 +48,21 @@ class Rotation:
         return np.packbits(bits, axis=1)
 
 
-def learn(sample: np.ndarray, rounds: int = ROUNDS, seed: int = 0) -> Rotation:
-    """Principal axes turned so that their signs lose least (alternating codes and Procrustes rotation)."""
+def unit_rows(x: np.ndarray) -> np.ndarray:
+    """Rows of length one, none of them zero; very small and very large components neither vanish nor overflow."""
+    x = x / np.abs(x).max(1, keepdims=True)
+    return x / np.sqrt((x * x).sum(1))[:, None]
+
+
+def learn(sample: np.ndarray, wanted: int, rounds: int = ROUNDS, seed: int = 0) -> Rotation:
+    """wanted axes: principal axes turned so that their signs lose least (alternating codes and Procrustes rotation), several turns of them where they are fewer."""
     n, width = sample.shape
-    wanted = MAX_CHUNKS * CHUNK_BITS
-    unit = sample / np.linalg.norm(sample, axis=1, keepdims=True)
+    unit = unit_rows(sample)
     middle = unit.mean(0)
     centred = unit - middle
     _, _, axes = np.linalg.svd(centred, full_matrices=True) if n <= 4 * width else (0, 0, np.linalg.eigh(centred.T @ centred)[1].T[::-1])
     rng = np.random.default_rng(seed)
     found = []
-    # A vector of few components gives several independent rotations of all its axes.
     while sum(a.shape[1] for a in found) < wanted:
         kept = axes[: min(width, wanted)].T
         projected = centred @ kept
@@ -67,41 +74,43 @@ def learn(sample: np.ndarray, rounds: int = ROUNDS, seed: int = 0) -> Rotation:
     return Rotation(middle, np.concatenate(found, 1)[:, :wanted])
 
 
-def tables_for(largest: int) -> list[tuple[int, ...]]:
-    """Chunks of each table's key, by the number of classes of the largest label."""
-    agree = 1
-    while agree < 4 and largest / 2 ** (CHUNK_BITS * agree) > BUCKET:
-        agree += 1
-    return list(combinations(range(MAX_CHUNKS), agree))
+def tables_for(largest: int, threshold: float, least_bits: int = LEAST_BITS) -> tuple[int, int]:
+    """Bytes of a table's key, by the number of classes of the largest label, and the number of tables."""
+    bits = least_bits
+    while bits < MOST_BITS and largest / 2**bits > BUCKET:
+        bits += 8
+    same = 1 - np.arccos(np.clip(threshold, -1, 1)) / np.pi
+    return bits // 8, max(1, int(np.ceil(np.log(MISSED) / np.log1p(-min(same**bits, 1 - 1e-12)))))
 
 
-def compare(batches: Iterator[pa.RecordBatch], threshold: float, tables: list[tuple[int, ...]]) -> Iterator[pa.RecordBatch]:
-    """(rep, links, root) of the members of each group that link with others in it."""
-    agree = len(tables[0])
-    code = np.array([sum(1 << c for c in t) for t in tables])
+def compare(batches: Iterator[pa.RecordBatch], threshold: float, width: int) -> Iterator[pa.RecordBatch]:
+    """(rep, links, root) of the members of each group that link with others in it; width: bytes of a table's key."""
     for data in whole_groups(batches, 16_384):
         g = data.column("_g").to_numpy()
-        side, rep, count, table = (data.column(c).to_numpy() for c in ("_side", "rep", "n", "t"))
-        chunks = np.frombuffer(b"".join(data.column("code").to_pylist()), np.uint8).reshape(len(g), -1)
+        side, rep, count, table, label = (data.column(c).to_numpy() for c in ("_side", "rep", "n", "t", "_label"))
+        code = np.frombuffer(b"".join(data.column("code").to_pylist()), np.uint8).reshape(len(g), -1)
+        keys = sum(code[:, k::width].astype(np.uint32) << np.uint32(8 * k) for k in range(width))
         lists = data.column("embedding").combine_chunks()
         values = np.asarray(lists.flatten()).astype(np.float64)
         begins = np.flatnonzero(np.concatenate(([True], g[1:] != g[:-1])))
         offsets = np.asarray(lists.offsets) - np.asarray(lists.offsets)[0]
         out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         for a, b in zip(begins.tolist(), [*begins[1:].tolist(), len(g)], strict=True):
-            x = values[offsets[a] : offsets[b]].reshape(b - a, -1)
-            x = x / np.sqrt((x * x).sum(1))[:, None]
+            x = unit_rows(values[offsets[a] : offsets[b]].reshape(b - a, -1))
             s = side[a:b]
             near = x @ x.T >= threshold
             near &= (s[:, None] == 2) | (s[:, None] != s[None, :])
             i, j = np.nonzero(np.triu(near, 1))
+            # A group is named by a hash: its rows' labels and tables are compared too.
+            mine = (label[a:b][i] == label[a:b][j]) & (table[a:b][i] == table[a:b][j])
+            i, j = i[mine], j[mine]
             if not len(i):
                 continue
-            same = chunks[a:b][i] == chunks[a:b][j]
-            # The first chunks that agree make the key of the table that counts the pair.
-            first = same & (np.cumsum(same, 1) <= agree)
-            mine = (first * (1 << np.arange(first.shape[1]))).sum(1) == code[table[a]]
-            i, j = i[mine], j[mine]
+            # The first table that has the pair counts it.
+            own = table[a:b][i]
+            for t in range(int(own.max())):
+                mine = (own <= t) | (keys[a + i, t] != keys[a + j, t])
+                i, j, own = i[mine], j[mine], own[mine]
             if not len(i):
                 continue
             links = np.bincount(i, count[a:b][j], b - a) + np.bincount(j, count[a:b][i], b - a)
@@ -119,6 +128,7 @@ def near_vectors(
     label_col: str = "label",
     threshold: float = THRESHOLD,
     block: int = BLOCK,
+    least_bits: int = LEAST_BITS,
 ) -> DataFrame:
     """One row for each row of vectors: id, n_links, component_id, kept.
 
@@ -126,7 +136,8 @@ def near_vectors(
     precision, is at least threshold. A vector that is null, empty or zero, or holds a
     null or non-finite component, links with nothing, nor do vectors of different widths
     or a row with a null id (component_id null, kept true). Repeated rows link with each
-    other. Other columns are not read; an empty table gives no rows.
+    other. Other columns are not read; an empty table gives no rows. least_bits: bits of a
+    table's key at least, a multiple of 8.
     """
     x = F.col("embedding")
     finite = F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
@@ -141,27 +152,25 @@ def near_vectors(
     for width, largest in [(r["width"], r["largest"]) for r in widths]:
         of_width = classes.filter(F.size("embedding") == width)
         sample = of_width.orderBy(F.xxhash64("rep"), "rep").limit(SAMPLE_ROWS).select("embedding").collect()
-        rotation = vectors.sparkSession.sparkContext.broadcast(learn(np.array([r[0] for r in sample], np.float64)))
-        tables = tables_for(largest)
+        key_bytes, tables = tables_for(largest, threshold, least_bits)
+        rotation = vectors.sparkSession.sparkContext.broadcast(learn(np.array([r[0] for r in sample], np.float64), 8 * key_bytes * tables))
 
         def encode(batches: Iterator[pa.RecordBatch], rotation=rotation) -> Iterator[pa.RecordBatch]:  # noqa: ANN001
             for batch in batches:
                 lists = batch.column(3)
                 v = np.asarray(lists.flatten()).astype(np.float64).reshape(batch.num_rows, -1) if batch.num_rows else np.zeros((0, 1))
                 if batch.num_rows:
-                    codes = rotation.value.codes(v / np.sqrt((v * v).sum(1))[:, None])
+                    codes = rotation.value.codes(unit_rows(v))
                     yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([c.tobytes() for c in codes], pa.binary())], ["rep", "n", "label", "embedding", "code"])
 
         kinds = ", ".join(f"{c} {classes.schema[c].dataType.simpleString()}" for c in ("rep", "n", "label", "embedding"))
         coded = of_width.select("rep", "n", "label", "embedding").mapInArrow(encode, f"{kinds}, code binary")
-        keys = [
-            F.struct(F.lit(t).alias("t"), F.concat(*[F.substring("code", c + 1, 1) for c in chunks]).alias("key")) for t, chunks in enumerate(tables)
-        ]
+        keys = [F.struct(F.lit(t).alias("t"), F.substring("code", t * key_bytes + 1, key_bytes).alias("key")) for t in range(tables)]
         spread = coded.select("*", F.explode(F.array(*keys)).alias("_k")).select("rep", "n", "label", "embedding", "code", "_k.t", "_k.key")
-        groups = deal(spread, ["label", "t", "key"], "rep", block).select("rep", "n", "embedding", "code", "t", "_g", "_side")
+        groups = deal(spread, ["label", "t", "key"], "rep", block).select("rep", "n", "embedding", "code", "t", F.xxhash64("label", F.lit(17)).alias("_label"), "_g", "_side")
 
-        def run(batches: Iterator[pa.RecordBatch], tables=tables) -> Iterator[pa.RecordBatch]:  # noqa: ANN001
-            yield from compare(batches, threshold, tables)
+        def run(batches: Iterator[pa.RecordBatch], width=key_bytes) -> Iterator[pa.RecordBatch]:  # noqa: ANN001
+            yield from compare(batches, threshold, width)
 
         found = groups.repartition("_g").sortWithinPartitions("_g", "_side").mapInArrow(run, "rep bigint, links bigint, root bigint")
         edges = found if edges is None else edges.union(found)
