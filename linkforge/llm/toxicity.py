@@ -37,7 +37,9 @@ DISCOUNT, POWER = 0.75, 5
 #: Buckets of expressions, as a power of two: 16 MB of differences are broadcast.
 BITS = 22
 #: Words whose hashes a worker process keeps.
-CACHE_WORDS = 500_000
+CACHE_WORDS = 200_000
+#: Labels are broadcast up to this number (about 64 MB); more are joined by shuffling texts.
+BROADCAST_LABELS = 2_000_000
 #: The score at which a text counts as toxic where no curve can be fitted, in nats.
 UNFITTED_MIDDLE = 1.0
 WORD = re.compile(r"[^\W\d_]+")
@@ -130,6 +132,7 @@ def labelled_texts(docs: DataFrame, labels: DataFrame, id_col: str, text_col: st
     )
     rows = docs.select(F.col(id_col).alias("_doc"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     h = F.xxhash64("text")
+    by_id = F.broadcast(by_id) if labels.count() <= BROADCAST_LABELS else by_id
     return rows.join(by_id, F.col("_doc") == F.col("_id")).select("label", "text", F.pmod(F.shiftright(h, 7), F.lit(5)).cast("int").alias("fold"), h.alias("h"))
 
 
