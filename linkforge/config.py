@@ -193,3 +193,51 @@ class GroupLimits:
     prefix: int = 20
     least_votes: int = 2
     vote_share: float = 0.4
+
+# The first phonetic code's pairs and single letters, and words that have no code.
+PHONETIC_PAIRS = (
+    ("PH", "F"), ("GH", "F"), ("CK", "K"), ("QU", "KW"), ("LL", "L"), ("SS", "S"), ("NN", "N"), ("MM", "M"), ("RR", "R"),
+    ("KN", "N"), ("WR", "R"), ("PS", "S"),
+)
+PHONETIC_LETTERS = (("C", "K"), ("G", "J"), ("Y", "I"), ("Z", "S"))
+PHONETIC_COMMON = (
+    "THE", "AND", "OR", "OF", "AT", "IN", "ON", "TO", "FOR", "WITH", "FLAT", "APARTMENT", "UNIT", "SUITE", "FLOOR", "GROUND",
+    "FIRST", "SECOND", "THIRD", "UPPER", "LOWER", "REAR", "FRONT", "SIDE", "NORTH", "SOUTH", "EAST", "WEST", "OLD", "NEW",
+    "LITTLE", "GREAT",
+)
+
+# Words that a first comma part with a business name has.
+BUSINESS_WORDS = (
+    "LTD", "LIMITED", "CLUB", "CENTRE", "CENTER", "SCHOOL", "HOTEL", "RESTAURANT", "CAFE", "SHOP", "STORE", "GARAGE", "SURGERY",
+    "CHURCH", "HALL", "FARM", "WORKS", "FACTORY", "OFFICE",
+)
+
+# The spelling dictionary's skipped words and its seeds; tokens that are never corrected.
+SPELLING_SKIPPED = (
+    "THE", "AND", "OF", "AT", "IN", "ON", "TO", "FOR", "WITH", "BY", "LAND", "REAR", "PLOT", "SITE", "ADJ", "ADJACENT",
+    "PROPOSED", "FORMER", "A", "B", "C", "D",
+)
+SPELLING_LOCALITIES = (
+    "ALTON", "PETERSFIELD", "LIPHOOK", "WATERLOOVILLE", "HORNDEAN", "BORDON", "WHITEHILL", "GRAYSHOTT", "HEADLEY", "BRAMSHOTT",
+    "LINDFORD", "HOLLYWATER", "PASSFIELD", "CONFORD", "FOUR MARKS", "MEDSTEAD", "CHAWTON", "SELBORNE", "EMPSHOTT", "HAWKLEY",
+    "LISS", "STEEP", "STROUD", "BURITON", "LANGRISH", "EAST MEON", "WEST MEON", "FROXFIELD", "PRIVETT", "ROPLEY", "WEST TISTED",
+    "EAST TISTED", "BINSTED", "HOLT POUND", "BENTLEY", "FARNHAM", "HASLEMERE", "ALRESFORD", "WINCHESTER", "SOUTHAMPTON",
+    "PORTSMOUTH", "GOSPORT", "FAREHAM", "HAVANT", "EMSWORTH", "ROWLANDS CASTLE", "CLANFIELD", "CATHERINGTON", "LOVEDEAN",
+    "DENMEAD", "HAMBLEDON", "DROXFORD", "BISHOPS WALTHAM",
+)
+SPELLING_SUFFIXES = (
+    "ROAD", "STREET", "LANE", "CLOSE", "DRIVE", "AVENUE", "GARDENS", "COURT", "TERRACE", "WAY", "GROVE", "PLACE", "CRESCENT",
+    "HILL", "RISE", "GREEN", "PARK", "SQUARE", "WALK", "MEWS", "PASSAGE", "YARD", "ROW", "PARADE", "CIRCUS", "BROADWAY", "HIGHWAY",
+)
+UNCORRECTED_SUFFIXES = SPELLING_SUFFIXES[:24]
+
+
+@dataclass(frozen=True)
+class Spelling:
+    """Limits of the spelling corrector."""
+
+    max_distance: int = 2
+    min_length: int = 3
+    min_frequency: int = 1
+    locality_frequency: int = 10_000
+    suffix_frequency: int = 50_000

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import matching, reports, scalars  # noqa: F401
+from . import matching, reports, scalars, spelling  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 
