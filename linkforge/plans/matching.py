@@ -287,7 +287,6 @@ with_candidates(
     "dd8_logistic", 0.6, 5,
     lambda d: f"select doc_id, address_id, round(1 / (1 + exp(-(-2.5 + 3.0 * trigram + 2.0 * cosine_bow + 0.8 * locality + 0.8 * street + case when same_number then 1.2 else 0.0 end + boost * 5))), 6) as p from ({features(d)}) f",
 )
-portable("d17_ladder", "select doc_id, case when fee >= 8500 then 'AUTO_ACCEPT' when fee >= 5000 then 'NEEDS_REVIEW' when fee >= 2000 then 'LOW_CONFIDENCE' else 'NO_MATCH' end as decision from docs")
 
 # -- strategies -----------------------------------------------------------------------
 def deterministic(d: Dialect) -> str:

@@ -30,18 +30,7 @@ with_candidates(
 VOTES = f"(select app_base, address_id, count(*) as votes, max(confidence) as best from {FACT} f where confidence > 0.5 group by app_base, address_id)"
 WINNER = f"(select app_base, address_id, votes, best from (select *, row_number() over (partition by app_base order by votes desc, best desc, address_id) as rn from {VOTES} v) w where rn = 1)"
 portable("g1_consensus_winner", f"select * from {WINNER} w")
-_GROUP = (
-    f"(select app_base, count(*) as n_docs, count(case when is_matched then 1 end) as n_matched, count(distinct planning_ref) as n_refs, count(distinct substring(raw_address, 1, 20)) as n_variants, "
-    f"avg(case when length(trim(raw_address)) >= 10 then 1.0 else 0.0 end) as real_share from {FACT} f group by app_base)"
-)
-portable("g2_safe_groups", f"select g.app_base, g.n_docs, w.votes from {_GROUP} g join {WINNER} w on w.app_base = g.app_base where n_docs between 2 and 30 and n_matched > 0 and n_matched < n_docs and real_share >= 0.5 and n_variants <= 5 and w.votes >= 0.4 * n_matched")
-portable(
-    "g3_corrections",
-    f"select f.doc_id, f.address_id as original, w.address_id as corrected, case when w.votes >= 5 then 0.95 when w.votes >= 3 then 0.90 else 0.85 end as confidence from {FACT} f join {WINNER} w on w.app_base = f.app_base "
-    "where (f.address_id is null or f.confidence < 0.5 or f.address_id <> w.address_id) and length(trim(f.raw_address)) >= 10",
-)
 portable("g7_inconsistent", f"select app_base, n, case when n > 2 then 'many_addresses' else 'two_addresses' end as issue from (select app_base, count(distinct address_id) as n from {FACT} f where address_id is not null group by app_base) g where n > 1")
-portable("g8_effective", f"select f.doc_id, coalesce(w.address_id, f.address_id) as address_id from {FACT} f left join {WINNER} w on w.app_base = f.app_base and w.votes >= 2")
 portable("g9_golden_groups", f"select app_base, count(*) as n_docs, count(case when confidence >= 0.9 then 1 end) as golden from {FACT} f group by app_base having count(case when confidence >= 0.9 then 1 end) >= 2 and count(*) between 2 and 8 and count(case when not is_matched then 1 end) >= 1")
 
 # -- aggregates ---------------------------------------------------------------------
@@ -88,6 +77,7 @@ portable(
     f"select doc_id, 0.2 * (case when raw_address <> '' then 1 else 0 end + case when pc <> '' then 1 else 0 end + case when easting is not null then 1 else 0 end + case when legacy is not null then 1 else 0 end + case when is_matched then 1 else 0 end) as completeness, "
     f"case when confidence >= 0.85 then 'AUTO_ACCEPT' when confidence >= 0.5 then 'NEEDS_REVIEW' when confidence >= 0.2 then 'LOW_CONFIDENCE' else 'NO_MATCH' end as decision from {FACT} f",
 )
+portable("d17_ladder", f"select doc_id, case when coalesce(confidence, 0) >= 0.85 then 'AUTO_ACCEPT' when confidence >= 0.5 then 'NEEDS_REVIEW' when confidence >= 0.2 then 'LOW_CONFIDENCE' else 'NO_MATCH' end as decision from {FACT} f")
 portable("r5_original_addresses", "select md5(lower(trim(raw_address))) as hash, min(raw_address) as raw_address, count(*) as uses from docs where raw_address <> '' group by md5(lower(trim(raw_address)))")
 portable("r6_integrity", f"select 'orphan_uprn' as check_name, count(*) as n from docs d where legacy is not null and not exists (select 1 from gaz g where g.uprn = d.legacy) union all select 'two_places', count(*) from (select uprn as u, count(distinct easting) as c from gaz group by uprn) s where c > 1 union all select 'unmatched', count(*) from {FACT} f where not is_matched")
 portable("r7_method_performance", f"select method, count(*) as n, round(avg(confidence), 4) as mean, min(confidence) as low, max(confidence) as high from {FACT} f where is_matched group by method")

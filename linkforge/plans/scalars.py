@@ -110,7 +110,7 @@ scalar(
      f"(case when length({RAW}) >= 15 then 2 when length({RAW}) >= 8 then 1 else 0 end) + (case when {T.postcode(d, RAW)} <> '' then 2 else 0 end) + "
      f"(case when easting is not null and northing is not null then 2 else 0 end) + (case when {d.like(RAW, '[0-9]')} then 1 else 0 end) >= 3 then 'FAIR' else 'POOR' end end"},
 )
-scalar("p_business_name", "docs", "doc_id", {"business": lambda d: f"case when {d.like(f'upper({RAW})', 'SHOP|STORE|PUB|HOTEL|BANK|SCHOOL|CHURCH|HALL|FARM')} then trim(split_part({RAW}, ',', 1)) else '' end"})
+scalar("p_business_name", "docs", "doc_id", {"business": lambda d: f"case when {d.like(f'upper({RAW})', '|'.join(T.C.BUSINESS_WORDS))} then trim(split_part({RAW}, ',', 1)) else '' end"})
 for _name, _a, _b in (("m_trigram", RAW, "full_address"),):
     scalar(_name, "pairs", "doc_id, address_id", {"similarity": lambda d, a=_a, b=_b: f"round({S.trigram(d, a, b)}, 6)"})
 scalar(
