@@ -110,6 +110,9 @@ def with_clause() -> str:
     )
 
 
+#: The most candidates of a document that any strategy asks for.
+MOST_CANDIDATES = 50
+
 #: Staged frames, by application and folder: canonical forms are made once, as a load would.
 _STAGED: dict[tuple[str, str, str], DataFrame] = {}
 
@@ -162,11 +165,13 @@ class World:
 
 
     def candidates(self, threshold: float, k: int) -> DataFrame:
-        """The k best trigram candidates of each document; the join is made once for each threshold."""
+        """The k best trigram candidates of each document; the join is made once for each threshold, with MOST_CANDIDATES of each."""
         every = self.stage(
             f"candidates_{threshold}",
-            lambda: trigram_join(self.docs.filter("can <> ''"), self.gaz, "doc_id", "can", "address_id", "can", threshold),
+            lambda: trigram_join(self.docs.filter("can <> ''"), self.gaz, "doc_id", "can", "address_id", "can", threshold, MOST_CANDIDATES).drop("rank"),
         )
+        if k > MOST_CANDIDATES:
+            raise ValueError(f"at most {MOST_CANDIDATES} candidates are staged")
         best = top_k(every, ["doc_id"], [F.desc("similarity"), F.col("address_id")], k)
         return best.select("doc_id", "address_id", "similarity")
 
