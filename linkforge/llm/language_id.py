@@ -91,17 +91,25 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", bits:
 
 def score_texts(model: LanguageModel, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Number of the likeliest language, and its posterior probability, for each text."""
+    return judge(model, texts)[:2]
+
+
+def judge(model: LanguageModel, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """score_texts(), and the mean log-likelihood of an n-gram in the likeliest language."""
+    size = np.zeros(len(texts), np.int64)
     totals = np.tile(model.log_prior, (len(texts), 1))
     columns = [np.ascontiguousarray(model.log_probability[:, k]) for k in range(model.log_probability.shape[1])]
     for numbers, pieces in in_pieces(texts):
         buckets, starts = _buckets(pieces, model.bits)
+        np.add.at(size, numbers, len(ORDERS) * np.diff(starts))
         for k, column in enumerate(columns):
             found = column[buckets[0]]
             for b in buckets[1:]:
                 found += column[b]
             np.add.at(totals, (numbers, k), sums_by_text(found, starts))
     best = totals.argmax(1)
-    return best, 1 / np.exp(totals - totals.max(1, keepdims=True)).sum(1)
+    mean = (totals[np.arange(len(texts)), best] - model.log_prior[best]) / np.maximum(size, 1)
+    return best, 1 / np.exp(totals - totals.max(1, keepdims=True)).sum(1), mean
 
 
 def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -129,15 +137,63 @@ def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text
     return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, f"`{id_col}` {kind}, lang_pred string, score double")
 
 
-def certainty(spark: SparkSession, model: LanguageModel) -> Callable[[Column], Column]:
-    """identify()'s score of a text column as a column, for filters that keep a table's other columns."""
-    shared = spark.sparkContext.broadcast(model)
+#: Standard deviations below the mean of learned texts at which a text is foreign to its likeliest language.
+FOREIGN = 8.0
+
+
+def floors(docs: DataFrame, model: LanguageModel, text_col: str = "text", lang_col: str = "lang", spread: float = FOREIGN) -> np.ndarray:
+    """By language, the least mean log-likelihood of an n-gram that its texts have.
+
+    That is spread standard deviations under the mean over all rows that have a language
+    and a letter, or the least of these rows if that is lower; without such rows there is
+    none. A text of a language or script that was
+    not learned is likeliest in some learned one all the same, but far under its floor.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, letter = shared.value, regex.compile(r"\p{L}").search
+        width = max(1, len(known.languages))
+        sums, least = np.zeros((3, width)), np.zeros(width)
+        for batch in batches:
+            for _, texts in text_slices(batch):
+                told = [t for t in texts if letter(t) is not None]
+                if told:
+                    best, _, mean = judge(known, told)
+                    for k, x in enumerate((np.ones(len(told)), mean, mean * mean)):
+                        sums[k] += np.bincount(best, x, width)
+                    np.minimum.at(least, best, mean)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(width, dtype=np.int32)), *map(pa.array, sums), pa.array(least)], ["lang", "n", "x", "xx", "least"])
+
+    rows = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.lit(0).alias("_"), F.col(text_col))
+    every = rows.mapInArrow(run, "lang int, n double, x double, xx double, least double")
+    every = every.groupBy("lang").agg(*[F.sum(c).alias(c) for c in ("n", "x", "xx")], F.min("least").alias("least"))
+    found = np.full(max(1, len(model.languages)), -np.inf)
+    for r in every.collect():
+        if r["n"]:
+            mean = r["x"] / r["n"]
+            found[r["lang"]] = min(r["least"], mean - spread * np.sqrt(max(0.0, r["xx"] / r["n"] - mean * mean))) - 1e-6
+    return found
+
+
+def certainty(spark: SparkSession, model: LanguageModel, floor: np.ndarray | None = None) -> Callable[[Column], Column]:
+    """identify()'s score of a text column as a column, for filters that keep a table's other columns.
+
+    0 for a text under its language's floor. Null and empty texts have 0; repeated rows are
+    scored each; an empty table has no scores; other columns are not read.
+    """
+    shared = spark.sparkContext.broadcast((model, floor))
 
     @F.pandas_udf("double")
     def score(text: pd.Series) -> pd.Series:
-        known, letter = shared.value, regex.compile(r"\p{L}").search
+        (known, least), letter = shared.value, regex.compile(r"\p{L}").search
         texts = [t or "" for t in text]
+        if not texts:
+            return pd.Series(np.zeros(0))
+        best, found, mean = judge(known, texts)
         told = np.array([bool(known.languages) and letter(t) is not None for t in texts], bool)
-        return pd.Series(np.where(told, score_texts(known, texts)[1], 0.0) if texts else np.zeros(0))
+        if least is not None:
+            told &= mean >= least[best]
+        return pd.Series(np.where(told, found, 0.0))
 
     return score
