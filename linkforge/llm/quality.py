@@ -113,20 +113,23 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 
 
 def fit(x: np.ndarray, y: np.ndarray, grades: tuple[float, ...], steps: int = STEPS) -> QualityModel:
-    """Maximum likelihood with a quadratic penalty, by Adam over the whole sample; y: numbers of the grades."""
-    spread = x.std(0)
+    """Maximum likelihood with a quadratic penalty, by Adam over the whole sample; y: numbers of the grades. x is changed in place."""
+    middle = x.mean(0, dtype=np.float64)
+    # Block by block: the sample is held once.
+    blocks = [slice(n, n + 512) for n in range(0, len(x), 512)]
+    spread = np.sqrt(sum(((x[b] - middle) ** 2).sum(0) for b in blocks) / len(x))
     used = spread > 0
     scale = np.where(used, 1 / np.maximum(spread, 1e-9), 0).astype(np.float32)
     scale[: 1 << BITS] = np.minimum(scale[: 1 << BITS], 1 / max(1e-9, float(np.median(spread[: 1 << BITS][used[: 1 << BITS]])) if used[: 1 << BITS].any() else 1))
     scale[: 1 << BITS] /= np.sqrt(max(1, used.sum() / 64))
-    middle = x.mean(0)
     cuts = len(grades) - 1
     share = np.array([(y > k).mean() for k in range(cuts)]).clip(1e-3, 1 - 1e-3)
     first = np.log((1 - share) / share)
     w = np.zeros(x.shape[1])
     # The first threshold, and the logarithms of the steps to the later ones.
     cut = np.concatenate((first[:1], np.log(np.maximum(np.diff(first), 1e-3))))
-    x = (x - middle) * scale
+    for b in blocks:
+        x[b] = (x[b] - middle) * scale
     state = [[np.zeros_like(p), np.zeros_like(p)] for p in (w, cut)]
     n = np.arange(len(y))
     for step in range(1, steps + 1):
@@ -154,7 +157,13 @@ def fit(x: np.ndarray, y: np.ndarray, grades: tuple[float, ...], steps: int = ST
 def train(
     docs: DataFrame, ratings: DataFrame, id_col: str = "doc_id", text_col: str = "text", grade_col: str = "quality", rows: int = TRAIN_ROWS
 ) -> QualityModel:
-    """Fit on at most rows rated texts. ratings: (id, grade), one grade an id (the lowest if several)."""
+    """Fit on at most rows rated texts. ratings: (id, grade), one grade an id (the lowest if several).
+
+    Null ids and grades are not read; a null text is empty; long texts are read whole; rows
+    that repeat an id and its text count once, an id's other texts each, in order of a hash,
+    so that the same rows give the same model. Other columns are not read, whatever their
+    names. Without rated rows the only grade is 0.
+    """
     chosen = (
         ratings.filter(F.col(grade_col).isNotNull() & F.col(id_col).isNotNull())
         .groupBy(F.col(id_col).alias("_id"))
@@ -172,21 +181,27 @@ def train(
                     yield pa.RecordBatch.from_arrays(
                         [
                             part.column(0).slice(start, len(table)),
+                            part.column(2).slice(start, len(table)),
                             pa.array([a.astype(np.uint16).tobytes() for a in at], pa.binary()),
                             pa.array([r[a].tobytes() for r, a in zip(table, at, strict=True)], pa.binary()),
                         ],
-                        ["grade", "at", "value"],
+                        ["grade", "h", "at", "value"],
                     )
 
-    rated = docs.join(F.broadcast(chosen), docs[id_col] == chosen["_id"]).select("_grade", F.col(text_col))
-    sample = rated.mapInArrow(rows_of, "grade double, at binary, value binary").limit(2 * rows).collect()
+    # Only what is needed joins, under names of its own; rows that repeat an id and its text are one.
+    texts = docs.select(F.col(id_col).alias("_doc"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
+    rated = texts.join(F.broadcast(chosen), F.col("_doc") == F.col("_id")).select(F.col("_grade").alias("_y"), "_text", F.xxhash64("_doc", "_text").alias("_h"))
+    made = rated.mapInArrow(rows_of, "grade double, h bigint, at binary, value binary").dropDuplicates(["grade", "h"])
+    sample = made.orderBy("h", "grade").limit(rows).select("grade", "at", "value").collect()
     grades = tuple(sorted({r["grade"] for r in sample}))
     if len(grades) < 2:
         return QualityModel(grades or (0.0,), np.zeros((1 << BITS) + len(SHAPES)), np.zeros(0))
+    y = np.array([grades.index(r["grade"]) for r in sample])
     x = np.zeros((len(sample), (1 << BITS) + len(SHAPES)), np.float32)
-    for row, r in zip(x, sample, strict=True):
+    for row in x:
+        r = sample.pop(0)
         row[np.frombuffer(r["at"], np.uint16)] = np.frombuffer(r["value"], np.float32)
-    return fit(x, np.array([grades.index(r["grade"]) for r in sample]), grades)
+    return fit(x, y, grades)
 
 
 def tails(model: QualityModel, texts: list[str], least_grade: float) -> tuple[np.ndarray, np.ndarray]:
