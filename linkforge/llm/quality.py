@@ -6,7 +6,7 @@ frequencies of hashed character n-grams and of a few shapes (words that repeat t
 before, lines that repeat the line before, capitals, digits, signs).
 
 The fit uses a bounded sample of labelled rows, TRAIN_ROWS at most, taken in order of a
-hash of the id; the sample's features go to the driver and nothing else does.
+hash of the id; one task has the sample's features and sends the model to the driver.
 """
 
 from __future__ import annotations
@@ -192,16 +192,31 @@ def train(
     texts = docs.select(F.col(id_col).alias("_doc"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
     rated = texts.join(F.broadcast(chosen), F.col("_doc") == F.col("_id")).select(F.col("_grade").alias("_y"), "_text", F.xxhash64("_doc", "_text").alias("_h"))
     made = rated.mapInArrow(rows_of, "grade double, h bigint, at binary, value binary").dropDuplicates(["grade", "h"])
-    sample = made.orderBy("h", "grade").limit(rows).select("grade", "at", "value").collect()
-    grades = tuple(sorted({r["grade"] for r in sample}))
-    if len(grades) < 2:
-        return QualityModel(grades or (0.0,), np.zeros((1 << BITS) + len(SHAPES)), np.zeros(0))
-    y = np.array([grades.index(r["grade"]) for r in sample])
-    x = np.zeros((len(sample), (1 << BITS) + len(SHAPES)), np.float32)
-    for row in x:
-        r = sample.pop(0)
-        row[np.frombuffer(r["at"], np.uint16)] = np.frombuffer(r["value"], np.float32)
-    return fit(x, y, grades)
+
+    def fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [b for b in batches if b.num_rows]
+        given = np.concatenate([b.column("grade").to_numpy() for b in held]) if held else np.zeros(0)
+        grades = tuple(np.unique(given).tolist())
+        width = (1 << BITS) + len(SHAPES)
+        if len(grades) < 2:
+            model = QualityModel(grades or (0.0,), np.zeros(width), np.zeros(0))
+        else:
+            x = np.zeros((len(given), width), np.float32)
+            at = 0
+            while held:
+                b = held.pop(0)
+                for place, value in zip(b.column("at"), b.column("value"), strict=True):
+                    x[at, np.frombuffer(place.as_buffer(), np.uint16)] = np.frombuffer(value.as_buffer(), np.float32)
+                    at += 1
+            model = fit(x, np.searchsorted(grades, given), grades)
+        yield pa.RecordBatch.from_arrays([pa.array([np.asarray(v, np.float64).tolist()], pa.list_(pa.float64())) for v in (model.grades, model.weights, model.thresholds)], ["grades", "weights", "thresholds"])
+
+    # One task has the sample, which is bounded, and only the model goes to the driver.
+    sample = made.orderBy("h", "grade").limit(rows).select("grade", "at", "value").coalesce(1)
+    told = sample.mapInArrow(fitted, "grades array<double>, weights array<double>, thresholds array<double>").collect()
+    if not told:
+        return QualityModel((0.0,), np.zeros((1 << BITS) + len(SHAPES)), np.zeros(0))
+    return QualityModel(tuple(told[0]["grades"]), np.array(told[0]["weights"]), np.array(told[0]["thresholds"]))
 
 
 def tails(model: QualityModel, texts: list[str], least_grade: float) -> tuple[np.ndarray, np.ndarray]:
