@@ -244,12 +244,17 @@ def bpe_encode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_co
 
 
 def bpe_decode(encoded: DataFrame, vocabulary: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
-    """One row for each row of encoded: id and text, the tokens' bytes read as UTF-8; null ids: null."""
+    """One row for each row of encoded: id and text, the tokens' bytes read as UTF-8; null ids: null.
+
+    A null or an id that the vocabulary does not have adds nothing, as in the tokenizers
+    library; bytes that are not UTF-8 become U+FFFD.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = encoder(vocabulary)
         for batch in batches:
-            texts = [None if x is None else known.decode(x) for x in batch.column(1).to_pylist()]
+            size = len(known.bytes)
+            texts = [None if x is None else known.decode([n for n in x if n is not None and 0 <= n < size]) for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], [id_col, "text"])
 
     kind = encoded.schema[id_col].dataType.simpleString()

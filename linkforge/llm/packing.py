@@ -77,28 +77,61 @@ def _take(counts: np.ndarray, pattern: Pattern) -> int:
     return times
 
 
-def _exact(counts: np.ndarray, longest: int, gap: int) -> Pattern | None:
-    """One, two or three lengths that fill the gap beside one piece of the longest length, under the counts."""
-    left = counts.copy()
-    left[longest] -= 1
-    if left[gap] > 0:
-        return (gap,)
-    present = left > 0
-    below = np.flatnonzero(present[: gap // 2 + 1])
-    below = below[below > 0]
-    fits = below[present[gap - below] & ((gap - below != below) | (left[below] > 1))]
-    if len(fits):
-        return (gap - int(fits[0]), int(fits[0]))
-    for a in np.flatnonzero(present[:gap])[::-1].tolist():
-        rest = gap - a
-        b = np.flatnonzero(present[: min(a, rest - 1) + 1])
-        b = b[(b > 0) & (2 * b >= rest)] if len(b) else b
-        c = rest - b
-        good = present[c] & (c > 0)
-        for x, y in zip(b[good].tolist(), c[good].tolist(), strict=True):
-            if all(left[n] >= (a, x, y).count(n) for n in {a, x, y}):
-                return (a, x, y)
-    return None
+class SumIndex:
+    """Combinations of one, two and three lengths by their sum, under counts that only fall.
+
+    A sum's entry is made when it is first asked for and kept while the counts allow it; a
+    sum that has none has none from then on.
+    """
+
+    def __init__(self, counts: np.ndarray) -> None:
+        self.counts = counts
+        self.pairs: dict[int, Pattern | None] = {}
+        self.triples: dict[int, Pattern | None] = {}
+
+    def available(self, pattern: Pattern) -> bool:
+        return all(self.counts[n] >= pattern.count(n) for n in set(pattern))
+
+    def pair(self, total: int) -> Pattern | None:
+        """Two lengths, the longer first, the shorter as short as can be."""
+        found = self.pairs.get(total, ())
+        if found is None or (found and self.available(found)):
+            return found
+        present = self.counts > 0
+        short = np.flatnonzero(present[: total // 2 + 1])
+        short = short[short > 0]
+        fits = short[present[total - short] & ((total - short != short) | (self.counts[short] > 1))]
+        self.pairs[total] = (total - int(fits[0]), int(fits[0])) if len(fits) else None
+        return self.pairs[total]
+
+    def triple(self, total: int) -> Pattern | None:
+        """Three lengths, the first as long as can be, the others a pair no longer than it."""
+        found = self.triples.get(total, ())
+        if found is None or (found and self.available(found)):
+            return found
+        self.triples[total] = next(self._triples(total), None)
+        return self.triples[total]
+
+    def _triples(self, total: int) -> Iterator[Pattern]:
+        present = self.counts > 0
+        for a in np.flatnonzero(present[:total])[::-1].tolist():
+            rest = total - a
+            if 2 * a < rest:
+                return
+            if self.pair(rest) is None:
+                continue
+            b = np.flatnonzero(present[: min(a, rest - 1) + 1])
+            b = b[(b > 0) & (2 * b >= rest)]
+            for x in b[present[rest - b]].tolist():
+                if self.available((a, x, rest - x)):
+                    yield (a, x, rest - x)
+
+    def filling(self, gap: int, most: int) -> Pattern | None:
+        """Up to most lengths that add up to the gap, as few as can be."""
+        if self.counts[gap] > 0:
+            return (gap,)
+        found = self.pair(gap) if most > 1 else None
+        return found or (self.triple(gap) if most > 2 else None)
 
 
 def exact_then_best_fit(lengths: dict[int, int], capacity: int, most: int) -> list[tuple[Pattern, int]]:
@@ -111,10 +144,14 @@ def exact_then_best_fit(lengths: dict[int, int], capacity: int, most: int) -> li
         found.append(((capacity,), int(counts[capacity])))
         counts[capacity] = 0
     residual = np.zeros_like(counts)
+    index = SumIndex(counts)
     for n in range(capacity - 1, 0, -1):
         while counts[n]:
-            filling = _exact(counts, n, capacity - n)
-            if filling is None or len(filling) > most:
+            # The piece itself is not available for its filling.
+            counts[n] -= 1
+            filling = index.filling(capacity - n, most)
+            counts[n] += 1
+            if filling is None:
                 residual[n], counts[n] = counts[n], 0
             else:
                 pattern = (n, *filling)
