@@ -99,7 +99,13 @@ portable(
 )
 # -- similarity joins -----------------------------------------------------------------
 with_candidates("j8_trigram_topk", 0.6, 3, lambda d: "select doc_id, address_id, round(similarity, 6) as similarity from cand")
-with_candidates("j7_fuzzy_road", 0.7, 20, lambda d: f"select c.doc_id, c.address_id from cand c join docs d on d.doc_id = c.doc_id join gaz g on g.address_id = c.address_id where {d.find('upper(d.raw_address)', 'g.town')} > 0")
+portable(
+    "j7_fuzzy_road",
+    lambda d: "select doc_id, address_id, round(similarity, 6) as similarity from (select a.doc_id, b.address_id, s.similarity, row_number() over (partition by a.doc_id order by s.similarity desc, b.address_id) as rn from doc_parts a join ("
+    f"select r.city, r.way as way_a, g.way as way_b, {S.trigram(d, 'r.way', 'g.way')} as similarity from (select distinct city, way from doc_parts where way <> '' and city <> '') r "
+    "join (select distinct city, way from gaz_parts where way <> '' and city <> '') g on g.city = r.city) s on s.city = a.city and s.way_a = a.way "
+    "join gaz_parts b on b.city = s.city and b.way = s.way_b where s.similarity >= 0.7 and (a.num = '' or s.similarity >= 0.8 or a.num = b.num)) t where rn <= 20",
+)
 with_candidates(
     "j9_trigram_lev", 0.5, 20,
     lambda d: "select doc_id, address_id, edits from (select *, row_number() over (partition by doc_id order by similarity desc, edits, address_id) as rn from "
@@ -130,7 +136,9 @@ register(
 )
 portable(
     "j12_double_like",
-    lambda d: f"select d.doc_id, g.address_id from (select *, {d.ext('can', r'^(\d+[A-Z]?)\b')} as num from docs x) d join gaz g on g.pc = d.pc where d.num <> '' and d.pc <> '' and {d.find('g.full_address', 'd.num')} > 0 and {d.find('d.can', 'g.road')} > 0",
+    lambda d: "select distinct a.doc_id, u.address_id from doc_parts a join ("
+    f"select address_id, road, upper(full_address) as line from gaz union all select e.address_id, g.road, e.unit_address as line from ({expanded(d)}) e join gaz g on g.address_id = e.address_id) u "
+    f"on u.road = a.way where a.num <> '' and a.way <> '' and {d.find('u.line', 'a.num')} > 0",
 )
 with_candidates(
     "j14_postcode", 0.5, 50,
@@ -249,7 +257,19 @@ with_candidates(
 )
 with_candidates("d2_score", 0.6, 5, lambda d: f"select doc_id, address_id, score from ({scored(d)}) s")
 with_candidates("d3_margin_decision", 0.6, 5, lambda d: feature_decision(scored(d)))
-with_candidates("a9_feature_engine", 0.6, 50, lambda d: feature_decision(scored(d)))
+TIERS = "select d.doc_id, g.address_id from docs d join gaz g on g.uprn = d.legacy union select d.doc_id, g.address_id from docs d join gaz g on g.can = d.can and d.can <> ''"
+
+
+def engine_candidates(w: World) -> DataFrame:
+    """Legacy number, exact text and trigram candidates, each address once."""
+    return compared(w, spark_sql(w, f"select doc_id, address_id from cand union {TIERS}", cand=w.candidates(0.5, 50)))
+
+
+register(
+    "a9_feature_engine", lambda w: spark_sql(w, feature_decision(scored(SPARK)), cand=engine_candidates(w)),
+    f"with ids as (select doc_id, address_id from ({trigram_sql(0.5, 50, 'docs', 'doc_id', 'can', 'gaz', 'address_id', 'can')}) c union {TIERS}), "
+    f"cand as (select i.doc_id, i.address_id, {S.trigram(DUCK, 'd.can', 'g.can')} as similarity from ids i join docs d on d.doc_id = i.doc_id join gaz g on g.address_id = i.address_id) " + feature_decision(scored(DUCK)),
+)
 with_candidates(
     "d4_explanation", 0.6, 5,
     lambda d: f"select doc_id, address_id, round({W.trigram} * trigram, 6) as by_trigram, round({W.embedding} * cosine_bow, 6) as by_vector, case when same_number then {W.house} else 0.0 end as by_number, round(boost, 6) as by_place from ({scored(d)}) s",
