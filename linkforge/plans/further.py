@@ -13,9 +13,10 @@ from linkforge.operators import joins
 from linkforge.sinks import results
 
 from .demo import World
-from .matching import expanded, same_postcode, trigram_sql, with_candidates, within_radius
-from .registry import ORACLES, QUERIES, portable, register, scalar, spark_sql
+from .matching import BEST_DECISION, expanded, same_postcode, trigram_sql, with_candidates, within_radius
+from .registry import ORACLES, PAIRS, QUERIES, portable, register, scalar, spark_sql
 from .reports import FACT
+from .scalars import decided
 
 RAW = "raw_address"
 NUMBER = r"^(\d+[A-Z]?)\b"
@@ -215,3 +216,30 @@ _WHOLE = {
 for _name, (_cut, _all) in _WHOLE.items():
     QUERIES[f"{_name}_all"] = QUERIES[_name]
     ORACLES[f"{_name}_all"] = ORACLES[_name].replace(_cut, _all)
+
+
+# -- strategies that find their candidates ------------------------------------------------
+FOUND_PAIRS = PAIRS.replace("(select *, target_id as pair_id from docs union all select *, other_id as pair_id from docs)", "(select x.*, c.address_id as pair_id from docs x join cand c on c.doc_id = x.doc_id)")
+
+
+def conservative_search(w: World) -> DataFrame:
+    """The ladders over the best trigram candidates; their rows are staged before the best is taken."""
+    def decide() -> DataFrame:
+        found = spark_sql(w, FOUND_PAIRS, cand=w.candidates(0.5, 10))
+        return spark_sql(w, f"select doc_id, address_id, confidence, accept, review from ({decided(SPARK)}) z", pairs=found)
+
+    return spark_sql(w, BEST_DECISION.format("decided_pairs"), decided_pairs=w.stage("decided_found", decide))
+
+
+register("a17_conservative_search", conservative_search, BEST_DECISION.format(f"({decided(DUCK)})"))
+ORACLES["a17_conservative_search"] = ORACLES["a17_conservative_search"].replace(PAIRS, f"with cand as ({trigram_sql(0.5, 10, 'docs', 'doc_id', 'can', 'gaz', 'address_id', 'can')}) {FOUND_PAIRS}")
+portable(
+    "d13_component_search",
+    "select doc_id, address_id, score from (select *, row_number() over (partition by doc_id order by score desc, address_id) as rn from (select doc_id, address_id, round(least(1.0, case when pc_same and num_same then 1.0 else matched / nullif(cast(total as double), 0) "
+    "+ case when pc_same then 0.2 else 0.0 end + case when num_same and way_same then 0.1 else 0.0 end end), 6) as score from (select *, "
+    "case when pc_same then 1 else 0 end + case when num_same then 1 else 0 end + case when way_same then 1 else 0 end + case when city_same then 1 else 0 end as matched from (select a.doc_id, b.address_id, a.pc = b.pc and a.pc <> '' as pc_same, a.num = b.num and a.num <> '' as num_same, a.way = b.way and a.way <> '' as way_same, a.city = b.city and a.city <> '' as city_same, "
+    "case when a.pc <> '' then 1 else 0 end + case when a.num <> '' then 1 else 0 end + case when a.way <> '' then 1 else 0 end + case when a.city <> '' then 1 else 0 end as total from doc_parts a join "
+    "(select a.doc_id, b.address_id as found from doc_parts a join gaz_parts b on a.pc = b.pc and a.pc <> '' union select a.doc_id, b.address_id from doc_parts a join gaz_parts b on a.way = b.way and a.city = b.city and a.way <> '' and a.city <> '') f on f.doc_id = a.doc_id "
+    "join gaz_parts b on b.address_id = f.found) p) q) r) s where rn = 1",
+)
+portable("j33_enrich_matched", f"select f.doc_id, coalesce(f.easting, g.easting) as easting, coalesce(f.northing, g.northing) as northing from {FACT} f left join gaz g on g.address_id = f.address_id and f.confidence >= 0.9")

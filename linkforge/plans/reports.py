@@ -6,10 +6,11 @@ from pyspark.sql import functions as F
 
 from linkforge.functions import text as T
 from linkforge.functions.dialect import SPARK, Dialect
+from linkforge.operators.joins import dense_ids
 from linkforge.streaming.changes import recent_counts
 
 from .matching import with_candidates
-from .registry import ORACLES, QUERIES, portable
+from .registry import ORACLES, QUERIES, portable, register
 
 #: Matches used by the reports: legacy UPRN, else exact canonical text, lowest address first.
 MATCHED = (
@@ -51,7 +52,7 @@ portable("ag_token_frequency", lambda d: f"select word, count(*) as n from (sele
 
 # -- windows ------------------------------------------------------------------------
 portable("w_row_number", "select o_custkey, o_orderkey from (select *, row_number() over (partition by o_custkey order by o_totalprice desc, o_orderkey) as rn from orders) s where rn = 1")
-portable("w_dense_rank", "select distinct app_base, dense_rank() over (order by app_base) as group_id from docs")
+register("w_dense_rank", lambda w: dense_ids(w.docs, "app_base"), "select distinct app_base, dense_rank() over (order by app_base) as group_id from docs")
 portable("w_runner_up", "select o_custkey, o_orderkey, round(o_totalprice - coalesce(lead(o_totalprice) over (partition by o_custkey order by o_totalprice desc, o_orderkey), 0), 2) as margin from orders")
 portable("w_topk", "select l_suppkey, l_orderkey, l_linenumber, rn from (select *, row_number() over (partition by l_suppkey order by l_extendedprice desc, l_orderkey, l_linenumber) as rn from lineitem) s where rn <= 3")
 portable("w_page", "select doc_id, raw_address from docs order by doc_id limit 100 offset 200")
