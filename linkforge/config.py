@@ -231,6 +231,41 @@ SPELLING_SUFFIXES = (
 )
 UNCORRECTED_SUFFIXES = SPELLING_SUFFIXES[:24]
 
+# Words that the digest embedding looks for.
+EMBEDDING_TERMS = ("ROAD", "STREET", "AVENUE", "LANE", "CLOSE", "DRIVE", "GARDENS", "COURT")
+
+# Words of landmarks and phrases of land references, in the accurate engine.
+LANDMARK_WORDS = ("HOTEL", "INN", "ARMS", "SURGERY", "SCHOOL", "CHURCH", "HALL", "FARM", "COTTAGE", "HOUSE")
+LAND_PHRASES = ("LAND AT", "LAND ADJACENT", "REAR OF", "PLOT", "SITE AT")
+
+# Localities that the hierarchical matcher looks for in a text without any.
+HIERARCHY_LOCALITIES = (
+    "ALTON", "PETERSFIELD", "LIPHOOK", "WATERLOOVILLE", "HORNDEAN", "FOUR MARKS", "BEECH", "ROPLEY", "ALRESFORD", "BORDON",
+    "WHITEHILL", "GRAYSHOTT", "HINDHEAD", "HASLEMERE", "SHEET", "STEEP", "STROUD", "HAWKLEY", "SELBORNE", "EAST TISTED",
+    "WEST TISTED", "CHAWTON", "HOLYBOURNE", "MEDSTEAD", "BENTLEY", "CATHERINGTON", "CLANFIELD", "DENMEAD", "HAMBLEDON", "ROWLANDS CASTLE",
+    "SOBERTON", "WICKHAM", "DROXFORD", "EXTON", "MEONSTOKE",
+)
+
+# Address rules in order, as (name, pattern, replacement, confidence). The seventh appends the letter that its
+# replacement means; the last expands single compass letters between spaces.
+ADDRESS_RULES = (
+    ("lucky_lite_farm", r"LUCKY LITE FARM.*", "LUCKYLITE FARM CATHERINGTON LANE HORNDEAN", 0.95),
+    ("lasham_airfield", r"LASHAM AIRFIELD.*", "LASHAM AERODROME LASHAM", 0.90),
+    ("four_marks_spacing", r"FOUR MARKS", "FOURMARKS", 0.85),
+    ("co_op_variations", r"(?:CO-OP|COOP|CO OP)", "COOPERATIVE", 0.80),
+    ("former_site_prefix", r"FORMER SITE OF (.+)", "$1", 0.75),
+    ("land_at_prefix", r"LAND AT (.+)", "$1", 0.70),
+    ("rear_of_references", r"REAR OF (\d+[A-Z]?\s+.+)", "$1A", 0.65),
+    ("adjacent_to", r"ADJ(?:ACENT)? TO (.+)", "$1", 0.60),
+    ("opposite_references", r"OPP(?:OSITE)? (.+)", "$1", 0.60),
+    ("north_south_abbreviations", r"\b([NS])\b", "", 0.75),
+)
+COMPASS = ((" N ", " NORTH "), (" S ", " SOUTH "), (" E ", " EAST "), (" W ", " WEST "))
+
+# Towns, road words and abbreviations of the parsers that stand in for a trained one.
+STAND_IN_TOWNS = ("ALTON", "PETERSFIELD", "BORDON", "LIPHOOK", "LISS", "SELBORNE", "FOUR MARKS", "MEDSTEAD", "BENTLEY", "WHITEHILL")
+STAND_IN_ROADS = ("ROAD", "STREET", "LANE", "AVENUE", "DRIVE", "CLOSE", "WAY")
+
 
 @dataclass(frozen=True)
 class Spelling:

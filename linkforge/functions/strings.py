@@ -66,6 +66,15 @@ def jaro(a: Column | str, b: Column | str) -> Column:
     return run(a, b)
 
 
+def jaro_winkler(a: Column | str, b: Column | str) -> Column:
+    """Jaro, raised by a tenth of what it lacks for each of the first four characters in common; null where either is null."""
+    a, b = F.col(a) if isinstance(a, str) else a, F.col(b) if isinstance(b, str) else b
+    j = jaro(a, b)
+    same = lambda n: (F.length(a) >= n) & (F.length(b) >= n) & (F.substring(a, 1, n) == F.substring(b, 1, n))
+    shared = F.when(same(4), 4).when(same(3), 3).when(same(2), 2).when(same(1), 1).otherwise(0)
+    return j + F.lit(0.1) * shared * (F.lit(1.0) - j)
+
+
 def osa(a: Column | str, b: Column | str, most: int | None = None) -> Column:
     """osa_of(); null where either is null, or beyond most."""
 
