@@ -179,13 +179,6 @@ portable(
         "starts_with_num(d.can, g.house)", "left(d.can, length(g.house) + 1) = concat(g.house, ' ')"
     ),
 )
-RULES = (("SHORT STREET", r"\bSTR\b", "STREET"), ("SHORT ROAD", r"\bROD\b", "ROAD"), ("LAND", r"^LAND (?:AT|ADJACENT TO) ", "1 "), ("DROP LETTER RANGE", r"^(\d+)[A-Z]? ", "$1 "))
-portable(
-    "j23_rules",
-    lambda d: "select doc_id, rule_id, address_id from (select *, min(rule_id) over (partition by doc_id) as first from ("
-    + " union all ".join(f"select d.doc_id, {n} as rule_id, g.address_id from (select *, {d.rep('can', p, to)} as changed from docs x) d join gaz g on g.can = d.changed where d.changed <> d.can" for n, (_, p, to) in enumerate(RULES, 1))
-    + ") u) v where rule_id = first",
-)
 portable("j25_left_chain", lambda d: f"select d.doc_id, g.address_id, g.easting - d.easting as de from docs d left join gaz g on g.uprn = d.legacy")
 portable("j26_anti", lambda d: f"select d.doc_id from docs d where d.legacy is not null and not exists (select 1 from gaz g where g.uprn = d.legacy)")
 portable("j27_semi", lambda d: f"select d.doc_id from docs d where exists (select 1 from gaz g where g.pc = d.pc)")
