@@ -159,3 +159,21 @@ def test_vectors_meet_equal_texts_only(spark):
     for r in w.gaz.select("address_id", "can").orderBy("address_id").collect():
         known.setdefault(r.can, r.address_id)
     assert got >= {(d, known[t]) for d, t in docs.items() if t and t in known}
+
+
+def test_layer_two_takes_the_exact_text_then_the_likest_on_its_road(spark):
+    make = spark.createDataFrame
+    docs = make(
+        [(n, t, t.replace(",", ""), "", None) for n, t in ((1, "1 HIGH STREET, ALTON"), (2, "1 HIGH STREET, ALTON"), (3, "2 HIGH STREET, LISS"), (4, "F123456 1 HIGH STREET"), (5, "9 MILL LANE, ALTON"))],
+        "doc_id long, raw_address string, can string, pc string, legacy string",
+    )
+    gaz = make([(10, "X", "", "u1", "1", "HIGH STREET"), (11, "Y", "", "u2", "2", "HIGH STREET"), (12, "Z", "", "u3", "3", "HIGH STREET")], "address_id long, can string, pc string, uprn string, house string, road string")
+    parts = make([(1, "1", "HIGH STREET"), (2, "1", "HIGH STREET"), (3, "2", "HIGH STREET"), (4, "", ""), (5, "9", "MILL LANE")], "doc_id long, num string, way string")
+    union = make([(10, "1 HIGH STREET ALTON", 1), (12, "1 HIGH STREET ALTON", 0)], "address_id long, can string, expanded int")
+    like = make([("2 HIGH STREET LISS", 12, 0, 0.99), ("2 HIGH STREET LISS", 11, 0, 0.9), ("9 MILL LANE ALTON", 11, 0, 0.85)], "can string, address_id long, expanded int, similarity double")
+    from linkforge.functions.dialect import SPARK
+    from linkforge.plans.registry import spark_sql
+
+    got = spark_sql(World(spark, SF), engines.layer_two(SPARK, engines._eligible(SPARK)), docs=docs, gaz=gaz, doc_parts=parts, union_rows=union, like_union=like)
+    # Both rows of a text are matched; an address itself goes before one of a range; another house or road is none.
+    assert sorted((r.doc_id, r.address_id, float(r.confidence)) for r in got.collect()) == [(1, 12, 1.0), (2, 12, 1.0), (3, 11, 0.9)]
