@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import engines, further, groups, matching, reports, scalars, spelling  # noqa: F401
+from . import engines, further, groups, matching, records, reports, scalars, spelling  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 
