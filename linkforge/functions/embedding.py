@@ -28,11 +28,15 @@ def digest_embedding(x: str, dimensions: int = DIMENSIONS) -> str:
     counts = (
         f"array(size(filter(words, w -> w rlike '[0-9]')) / double(size(words)), ({terms}) / {float(len(C.EMBEDDING_TERMS))}D, octet_length(t) / 100D, size(words) / 20D)"
     )
-    base = f"transform(sequence(0, {dimensions - 1}), i -> conv(substring(digest, i % 16 * 2 + 1, 2), 16, 10) / 255D * 2 - 1)"
-    raw = f"case when size(words) = 0 then {base} else concat(slice({base}, 1, {dimensions - 4}), {counts}) end"
+    # The 16 bytes are read once, not once for each dimension.
+    bytes_ = "transform(sequence(0, 15), i -> conv(substring(digest, i * 2 + 1, 2), 16, 10) / 255D * 2 - 1)"
+    base = f"flatten(array_repeat({bytes_}, {-(-dimensions // 16)}))"
+    raw = f"case when size(words) = 0 then slice({base}, 1, {dimensions}) else concat(slice({base}, 1, {dimensions - 4}), {counts}) end"
     # Names for parts of the expression: a list of one struct, transformed.
     named = f"transform(array(named_struct('t', {s}, 'digest', md5(cast({s} as binary)), 'words', filter(split({s}, '\\\\s+'), w -> w <> ''))), p -> {_within('p', raw)})[0]"
-    unit = f"transform(array({named}), v -> transform(v, e -> float(e / sqrt(aggregate(v, 0D, (a, b) -> a + b * b)))))[0]"
+    # The length is taken once for all elements.
+    long = f"transform(array({named}), v -> named_struct('v', v, 'length', sqrt(aggregate(v, 0D, (a, b) -> a + b * b))))[0]"
+    unit = f"transform(array({long}), r -> transform(r.v, e -> float(e / r.length)))[0]"
     return f"case when {x} = '' then array_repeat(float(0), {dimensions}) when {x} is not null then {unit} end"
 
 
