@@ -23,3 +23,10 @@ def test_digest_embedding_reads_bytes_and_length_once(spark):
 def test_one_file_is_spread_over_the_cores(spark):
     one = spark.range(100).coalesce(1)
     assert spread(one).rdd.getNumPartitions() == 2 * spark.sparkContext.defaultParallelism and spread(one).count() == 100
+
+
+def test_facts_meet_one_address_a_postcode(spark, duck):  # noqa: F811
+    for name in ("r16_snapshot_comparison", "r1_fact_build", "s10_unmatched_page"):
+        same_as_sql(spark, duck, name)
+    plan = catalogue.queries()["r1_fact_build"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "postcode_only" in plan and "Union" not in plan and "row_number" not in plan
