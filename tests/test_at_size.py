@@ -2,6 +2,7 @@
 
 
 from linkforge.functions import embedding
+from linkforge.operators import joins
 from linkforge.plans import catalogue
 from linkforge.plans.demo import spread
 
@@ -30,3 +31,29 @@ def test_facts_meet_one_address_a_postcode(spark, duck):  # noqa: F811
         same_as_sql(spark, duck, name)
     plan = catalogue.queries()["r1_fact_build"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     assert "postcode_only" in plan and "Union" not in plan and "row_number" not in plan
+
+
+def test_trigrams_within_groups_are_those_of_plain_pairs(spark):
+    words = ["12 MILL LANE", "12A MILL LANE", "4 OAK CLOSE", "", "LAND AT OAK", "99 HIGH STREET ALTON"]
+    left = spark.createDataFrame([(n, words[n % 6], ["a", "b", "", None][n % 4], str(n % 3)) for n in range(40)], "l long, x string, pc string, tag string")
+    right = spark.createDataFrame([(n, words[n % 5], ["a", "b", "", "c"][n % 4], str(n % 2)) for n in range(30)], "r long, y string, pc string, tag string")
+
+    def tri(text):
+        return {f"  {w} "[n : n + 3] for w in text.lower().split() for n in range(len(w) + 1)}
+
+    want = {
+        (a["l"], b["r"]): (len(tri(a["x"]) & tri(b["y"])) / max(1, len(tri(a["x"]) | tri(b["y"]))), a["tag"] == b["tag"])
+        for a in left.collect() for b in right.collect() if a["pc"] and a["pc"] == b["pc"]
+    }
+    for block in (1024, 3):
+        args = (left, right, "l", "x", "r", "y", "pc", "tag", "tag")
+        got = joins.trigrams_within(*args, block=block).collect()
+        assert len(got) == len(want) and {(g["l"], g["r"]): (g["similarity"], g["same"]) for g in got} == want
+        cut = {(g["l"], g["r"]) for g in joins.trigrams_within(*args, lambda s, same: s + 0.5 * same, block=block).collect()}
+        score = {k: s + 0.5 * same for k, (s, same) in want.items()}
+        best = {k for k in score if score[k] == max(score[m] for m in score if m[0] == k[0])}
+        assert best <= cut < set(want)
+
+
+def test_postcode_engine_is_its_sql(spark, duck):  # noqa: F811
+    same_as_sql(spark, duck, "a4_postcode")
