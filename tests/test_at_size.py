@@ -57,3 +57,7 @@ def test_trigrams_within_groups_are_those_of_plain_pairs(spark):
 
 def test_postcode_engine_is_its_sql(spark, duck):  # noqa: F811
     same_as_sql(spark, duck, "a4_postcode")
+
+
+def test_d9_postcode_score_is_its_sql(spark, duck):  # noqa: F811
+    same_as_sql(spark, duck, "d9_postcode_score")
