@@ -61,3 +61,7 @@ def test_postcode_engine_is_its_sql(spark, duck):  # noqa: F811
 
 def test_d9_postcode_score_is_its_sql(spark, duck):  # noqa: F811
     same_as_sql(spark, duck, "d9_postcode_score")
+
+
+def test_j14_postcode_is_its_sql(spark, duck):  # noqa: F811
+    same_as_sql(spark, duck, "j14_postcode_all")
