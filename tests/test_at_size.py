@@ -63,5 +63,10 @@ def test_d9_postcode_score_is_its_sql(spark, duck):  # noqa: F811
     same_as_sql(spark, duck, "d9_postcode_score")
 
 
-def test_j14_postcode_is_its_sql(spark, duck):  # noqa: F811
+def test_j14_postcode_is_the_whole_sql(spark, duck):  # noqa: F811
     same_as_sql(spark, duck, "j14_postcode_all")
+
+
+def test_j14_postcode_all_is_j14_postcode(spark):
+    found = [{tuple(r) for r in catalogue.queries()[name](spark, SF).collect()} for name in ("j14_postcode", "j14_postcode_all")]
+    assert found[0] == found[1] and found[0]
