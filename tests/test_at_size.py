@@ -1,10 +1,13 @@
 """Plans and operators that large tables need: what they read, and the same rows as the plain form."""
 
 
+import pytest
+
 from linkforge.functions import embedding
 from linkforge.operators import joins
-from linkforge.plans import catalogue
-from linkforge.plans.demo import spread
+from linkforge.plans import catalogue, engines, firsts
+from linkforge.plans.demo import World, spread
+from linkforge.plans.registry import spark_sql
 
 from .test_queries import SF, duck, rows  # noqa: F401
 
@@ -70,3 +73,56 @@ def test_j14_postcode_is_the_whole_sql(spark, duck):  # noqa: F811
 def test_j14_postcode_all_is_j14_postcode(spark):
     found = [{tuple(r) for r in catalogue.queries()[name](spark, SF).collect()} for name in ("j14_postcode", "j14_postcode_all")]
     assert found[0] == found[1] and found[0]
+
+
+@pytest.fixture
+def small_parts(spark, monkeypatch):
+    """Many addresses of few roads, so that every cut cuts, and documents that lack parts."""
+    gaz = [(n, str(n % 5 or ""), ["OAK ROAD", "OAK ROADS", "MILL LANE"][n % 3], ["ALTON", "LISS", ""][n % 7 % 3], ["GU1 1AA", ""][n % 11 % 2]) for n in range(900)]
+    docs = [(n, str(n % 6 or ""), ["OAK ROAD", "MILL LANE", "OAKROAD", ""][n % 4], ["ALTON", "LISS", ""][n % 5 % 3], ["GU1 1AA", "", "GU9 9ZZ"][n % 3]) for n in range(60)]
+    frames = {n: spark.createDataFrame(r, f"{k} long, num string, way string, city string, pc string") for n, r, k in (("gaz_parts", gaz, "address_id"), ("doc_parts", docs, "doc_id"))}
+    monkeypatch.setattr(World, "gaz_parts", property(lambda w: frames["gaz_parts"]))
+    monkeypatch.setattr(World, "doc_parts", property(lambda w: frames["doc_parts"]))
+    return World(spark, f"small-{id(frames)}")
+
+
+def both(w, plain, quick, **frames):
+    found = [sorted(tuple(r) for r in spark_sql(w, sql, **frames).collect()) for sql in (plain, quick)]
+    assert found[0] == found[1] and found[0]
+    plan = spark_sql(w, quick, **frames)._jdf.queryExecution().optimizedPlan().toString()
+    return plan
+
+
+def test_any_components_cuts_before_documents_meet(small_parts):
+    both(small_parts, engines.WHICHEVER, firsts.WHICHEVER)
+
+
+def test_component_pairs_cut_before_documents_meet(small_parts):
+    both(small_parts, engines.COMPONENT, engines._COMPONENT_QUICK, like_roads=engines.like_roads(small_parts))
+
+
+def test_roads_alike_cut_before_documents_meet(small_parts):
+    both(small_parts, engines.LIKE_ROAD.format(20, 0.8), firsts.like_road(20, 0.8), like_roads=engines.like_roads(small_parts))
+
+
+def test_same_road_cut_before_documents_meet(small_parts):
+    both(small_parts, engines.SAME_ROAD.format(10), firsts.same_road(10))
+
+
+@pytest.mark.parametrize("name", ["j15_hierarchical", "d13_component_search", "j7_fuzzy_road", "a14_component", "a15_component_strict", "d14_strict_score"])
+def test_first_addresses_are_those_of_the_sql(spark, duck, name):  # noqa: F811
+    same_as_sql(spark, duck, name)
+    plan = " ".join(firsts_used(name))
+    assert "kn <=" in plan or "min(address_id)" in plan
+
+
+def firsts_used(name):
+    return {"j15_hierarchical": [firsts.HIERARCHICAL], "d13_component_search": [firsts.COMPONENT_SEARCH], "j7_fuzzy_road": [firsts.FUZZY_ROAD], "a14_component": [engines._COMPONENT_QUICK]}.get(name, [engines._STRICT_QUICK])
+
+
+def test_trigram_join_of_no_texts_is_empty(spark):
+    none = spark.createDataFrame([], "l long, x string")
+    some = spark.createDataFrame([(1, "12 OAK ROAD")], "r long, y string")
+    for k, columns in ((None, ["l", "r", "similarity"]), (3, ["l", "r", "similarity", "rank"])):
+        found = joins.trigram_join(none, some, "l", "x", "r", "y", 0.6, k)
+        assert found.columns == columns and not found.collect()
