@@ -4,8 +4,9 @@ Two sets whose similarity reaches t share a member among the first n - ceil(t n)
 each in any one order of all shingles, so texts are compared where they share one of
 those; no pair is lost. The order is that of the hashes, but shingles that a sample of
 the texts repeats come last: the sample changes which pairs are looked at, not which are
-found. A 64-bit SimHash could not say as much: at similarity 0.8 two fingerprints differ
-in ten bits on average, in sixteen or more now and then.
+found. SimHash comes first: texts whose fingerprints of five-word shingles are within
+op6's radius meet by its operator, and those alike in their sets are linked. It cannot find
+all: at similarity 0.8 two fingerprints differ in ten bits on average. The prefixes find the rest.
 
 Pairs are first held against a bound: a text's signature has a bit for the parity of its
 shingles in each of SIGNATURE_BITS buckets, and two sets differ in no fewer members than
@@ -28,12 +29,12 @@ from pyspark.sql import functions as F
 
 from .bpe import text_slices
 from .graph import BLOCK, components
-from .simhash import SEED
+from .simhash import SEED, links, majority
 from .storage import discard, materialise
 
 SHINGLE_WORDS, SIMILARITY = 5, 0.8
 #: One text of so many is in the sample; shingles of so many of its texts come last in the order, at most LATE of them.
-SAMPLE, OFTEN, LATE = 16, 4, 1 << 20
+SAMPLE, OFTEN, LATE = 8, 3, 1 << 20
 SIGNATURE_BITS, ROUNDS = 512, 2
 
 
@@ -95,6 +96,14 @@ def bound(n: str, sig: str, m: str, other: str, least: float) -> Column:
     return differ <= (F.col(n) + F.col(m)) * F.lit((1 - least) / (1 + least)) + 1e-6
 
 
+def simhash_pairs(classes: DataFrame, block: int = BLOCK) -> DataFrame:
+    """(x, y): keys of classes(key, fp) that op6's operator links, and those of one fingerprint with the smallest."""
+    same, _ = materialise(classes.groupBy("fp").agg(F.min("key").alias("rep")), "shingle-fingerprints")
+    star = classes.select("key", "fp").join(same, "fp").filter("key != rep").select(F.col("key").alias("x"), F.col("rep").alias("y"))
+    pairs, _ = materialise(star.union(links(same, block).select(F.col("a").alias("x"), F.col("b").alias("y"))).distinct(), "shingle-simhash")
+    return pairs
+
+
 def verified(docs: DataFrame, pairs: DataFrame, classes: DataFrame, shingle_words: int, least: float) -> DataFrame:
     """(a, b): the smallest ids of pairs(x, y) of classes that reach the similarity, as a table."""
     needed = pairs.select(F.col("x").alias("key")).union(pairs.select("y")).distinct().join(classes.select("key", "rep"), "key")
@@ -146,15 +155,15 @@ def near_texts(
             at = np.minimum(np.searchsorted(late, s), len(late) - 1)
             rank = np.where(late[at] == s, often[at], 0)
         take = len(s) - int(np.ceil(least * len(s) - 1e-9)) + 1 if len(s) else 0
-        return class_key(s), len(s), s[np.lexsort((s, rank))[:take]], signature(s)
+        return class_key(s), len(s), s[np.lexsort((s, rank))[:take]], signature(s), majority(s)
 
     spark = docs.sparkSession
-    marked, marked_path = materialise(sets_of(known, shingle_words, prefix, "key bigint, n int, grams array<bigint>, sig array<bigint>"), "shingle-prefixes")
+    marked, marked_path = materialise(sets_of(known, shingle_words, prefix, "key bigint, n int, grams array<bigint>, sig array<bigint>, fp bigint"), "shingle-prefixes")
     ids, _ = materialise(marked.select("id", "key"), "shingle-keys")
-    classes, classes_path = materialise(marked.groupBy("key").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("grams").alias("grams"), F.first("sig").alias("sig")), "shingle-classes")
+    classes, classes_path = materialise(marked.groupBy("key").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("grams").alias("grams"), F.first("sig").alias("sig"), F.first("fp").alias("fp")), "shingle-classes")
     discard(spark, marked_path)
     reps, _ = materialise(classes.select("key", "rep"), "shingle-reps")
-    signatures, signatures_path = materialise(classes.select("key", "n", "sig"), "shingle-signatures")
+    signatures, signatures_path = materialise(classes.select("key", "n", "sig", "fp"), "shingle-signatures")
     # Most shingles are one text's: only the others travel with their texts.
     every_gram = classes.select(F.explode("grams").alias("gram"))
     shared_grams, grams_path = materialise(every_gram.groupBy("gram").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("gram"), "shingle-grams")
@@ -166,7 +175,9 @@ def near_texts(
         """At the first shingle that both have, so many can still be shared."""
         return alike(F.col(n), F.col(m), F.least(F.col(n) - F.col(pos), F.col(m) - F.col(at)), least)
 
-    label, edges = reps.select("key", F.col("rep").alias("cluster")), None
+    edges = verified(known, within_bound(simhash_pairs(signatures, block), signatures, least), reps, shingle_words, least)
+    found = components(edges)
+    label = reps.join(found, reps["rep"] == found["node"], "left").select("key", F.coalesce("component", "rep").alias("cluster"))
     for turn in range(ROUNDS):
         named, named_path = materialise(few.join(label, "key"), "shingle-named")
         order = F.struct((F.col("n") if turn == 0 else F.xxhash64("key", F.lit(turn))).alias("by"), "key", "n", "pos", "cluster")
@@ -176,7 +187,7 @@ def near_texts(
         star = first.filter(possible("n", "pos", "m", "at")).select(F.col("key").alias("x"), "y").distinct()
         near, near_path = materialise(within_bound(star, signatures, least), "shingle-pairs")
         linked = verified(known, near, reps, shingle_words, least)
-        edges = linked if edges is None else edges.union(linked)
+        edges = edges.union(linked)
         found = components(edges)
         label = reps.join(found, reps["rep"] == found["node"], "left").select("key", F.coalesce("component", "rep").alias("cluster"))
         for path in (named_path, near_path):

@@ -52,6 +52,14 @@ def fingerprint(text: str, shingle_words: int = SHINGLE_WORDS) -> int:
     return int(bits.view(np.uint64)[0])
 
 
+def majority(hashes: np.ndarray) -> int:
+    """Majority bits of 64-bit hashes as a signed number; 0 of none."""
+    total = np.zeros(64, np.int64)
+    for at in range(0, len(hashes), 65_536):
+        total += np.unpackbits(hashes[at : at + 65_536].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return int(np.packbits(2 * total > len(hashes), bitorder="little").view(np.int64)[0])
+
+
 def fingerprints(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, fp): fingerprints as signed 64-bit numbers."""
 
@@ -191,6 +199,19 @@ def cluster_edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             yield pa.RecordBatch.from_arrays([pa.array(rep[linked]), pa.array(rep[root[linked]])], ["a", "b"])
 
 
+def links(classes: DataFrame, block: int = BLOCK) -> DataFrame:
+    """(a, b) of classes(rep, fp): an edge from each member of a cluster to its root, in each group of fingerprints that share two chunks."""
+    bits = 64 // CHUNKS
+    chunk = [F.shiftrightunsigned("fp", bits * k).bitwiseAND(F.lit((1 << bits) - 1)) for k in range(CHUNKS)]
+    keys = [
+        F.struct(F.lit(t).alias("t"), (chunk[a] * F.lit(1 << bits) + chunk[b]).alias("key"))
+        for t, (a, b) in enumerate(combinations(range(CHUNKS), AGREE))
+    ]
+    spread = classes.select("rep", "fp", F.explode(F.array(*keys)).alias("_k")).select("rep", "fp", "_k.t", "_k.key")
+    groups = deal(spread, ["t", "key"], "rep", block).select("rep", "fp", "_g", "_side")
+    return groups.repartition("_g").sortWithinPartitions("_g", "_side").mapInArrow(cluster_edges, "a bigint, b bigint")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> DataFrame:
     """One row for each row of docs: id, fingerprint (16 hex digits), component_id.
 
@@ -202,15 +223,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     marked, _ = materialise(fingerprints(docs, id_col, text_col).withColumn(id_col, F.col(id_col).cast("bigint")), "fingerprints")
     classes, _ = materialise(marked.filter(F.col(id_col).isNotNull()).groupBy("fp").agg(F.min(id_col).alias("rep")), "classes")
-    bits = 64 // CHUNKS
-    chunk = [F.shiftrightunsigned("fp", bits * k).bitwiseAND(F.lit((1 << bits) - 1)) for k in range(CHUNKS)]
-    keys = [
-        F.struct(F.lit(t).alias("t"), (chunk[a] * F.lit(1 << bits) + chunk[b]).alias("key"))
-        for t, (a, b) in enumerate(combinations(range(CHUNKS), AGREE))
-    ]
-    spread = classes.select("rep", "fp", F.explode(F.array(*keys)).alias("_k")).select("rep", "fp", "_k.t", "_k.key")
-    groups = deal(spread, ["t", "key"], "rep", block).select("rep", "fp", "_g", "_side")
-    edges = groups.repartition("_g").sortWithinPartitions("_g", "_side").mapInArrow(cluster_edges, "a bigint, b bigint")
+    edges = links(classes, block)
     found = components(edges)
     labelled = classes.join(found, classes["rep"] == found["node"], "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
     return marked.join(labelled, "fp", "left").select(

@@ -61,3 +61,17 @@ def test_near_stage_takes_copies_that_differ_in_a_few_words(spark):
     docs = spark.createDataFrame(texts, "doc_id bigint, text string")
     stayed = {r["doc_id"] for r in corpus_pipeline.near_stage(spark, docs, "").collect()}
     assert stayed == set(brute(texts).values())
+
+
+def test_simhash_links_come_first_and_are_checked(spark, monkeypatch):
+    from linkforge.llm import near_texts as module
+
+    met = []
+    plain = module.simhash_pairs
+    monkeypatch.setattr(module, "simhash_pairs", lambda *a: met.append(plain(*a)) or met[-1])
+    rng = random.Random(5)
+    words = ["".join(rng.choices("abcdefgh", k=5)) for _ in range(4000)]
+    texts = [(1, " ".join(words)), (2, " ".join([*words, "tail"])), (3, " ".join(reversed(words)))]
+    got = near_texts(spark.createDataFrame(texts, "doc_id bigint, text string")).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == {1: 1, 2: 1, 3: 3}
+    assert met[0].count() == 1
