@@ -30,12 +30,14 @@ from pyspark.sql import functions as F
 from .bpe import text_slices
 from .graph import BLOCK, components
 from .simhash import SEED, links, majority
-from .storage import discard, materialise
+from .storage import batches_of, discard, materialise
 
 SHINGLE_WORDS, SIMILARITY = 5, 0.8
 #: One text of so many is in the sample; shingles of so many of its texts come last in the order, at most LATE of them.
 SAMPLE, OFTEN, LATE = 8, 3, 1 << 20
 SIGNATURE_BITS, ROUNDS = 512, 2
+#: Whole texts that a Python worker gets at once.
+TEXT_ROWS = 256
 
 
 def shingle_set(text: str, shingle_words: int = SHINGLE_WORDS) -> np.ndarray:
@@ -110,7 +112,7 @@ def verified(docs: DataFrame, pairs: DataFrame, classes: DataFrame, shingle_word
     texts = docs.join(needed.select(F.col("rep").alias("id")).distinct(), "id", "left_semi")
     made = sets_of(texts, shingle_words, lambda s: (class_key(s), s), "key bigint, shingles array<bigint>")
     # An id may have other texts: the key tells which is meant.
-    sets, path = materialise(made.join(needed.withColumnRenamed("rep", "id"), ["key", "id"], "left_semi").dropDuplicates(["key"]), "shingle-sets")
+    sets, path = materialise(made.join(needed.withColumnRenamed("rep", "id"), ["key", "id"], "left_semi").dropDuplicates(["key"]), "shingle-sets", TEXT_ROWS)
     x = sets.select(F.col("key").alias("x"), F.col("id").alias("a"), F.col("shingles").alias("p"))
     y = sets.select(F.col("key").alias("y"), F.col("id").alias("b"), F.col("shingles").alias("q"))
     met = pairs.join(x, "x").join(y, "y").withColumn("shared", F.size(F.array_intersect("p", "q")))
@@ -129,7 +131,8 @@ def late_shingles(docs: DataFrame, shingle_words: int) -> tuple[np.ndarray, np.n
     """Shingles that come last, sorted, and how often the sample has each."""
     sample = docs.filter(F.pmod(F.xxhash64("id", F.lit(3)), F.lit(SAMPLE)) == 0)
     grams = sets_of(sample, shingle_words, lambda s: (s,), "grams array<bigint>").select(F.explode("grams").alias("gram"))
-    often = grams.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= OFTEN).orderBy(F.desc("n"), "gram").limit(LATE).toPandas()
+    with batches_of(docs.sparkSession, TEXT_ROWS):
+        often = grams.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= OFTEN).orderBy(F.desc("n"), "gram").limit(LATE).toPandas()
     often = often.sort_values("gram")
     return often["gram"].to_numpy(np.int64), often["n"].to_numpy(np.int64)
 
@@ -158,7 +161,7 @@ def near_texts(
         return class_key(s), len(s), s[np.lexsort((s, rank))[:take]], signature(s), majority(s)
 
     spark = docs.sparkSession
-    marked, marked_path = materialise(sets_of(known, shingle_words, prefix, "key bigint, n int, grams array<bigint>, sig array<bigint>, fp bigint"), "shingle-prefixes")
+    marked, marked_path = materialise(sets_of(known, shingle_words, prefix, "key bigint, n int, grams array<bigint>, sig array<bigint>, fp bigint"), "shingle-prefixes", TEXT_ROWS)
     ids, _ = materialise(marked.select("id", "key"), "shingle-keys")
     classes, classes_path = materialise(marked.groupBy("key").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("grams").alias("grams"), F.first("sig").alias("sig"), F.first("fp").alias("fp")), "shingle-classes")
     discard(spark, marked_path)

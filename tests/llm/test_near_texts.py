@@ -1,5 +1,7 @@
 import random
 
+import pyarrow as pa
+
 import corpus_pipeline
 from linkforge.llm.near_texts import near_texts
 
@@ -75,3 +77,13 @@ def test_simhash_links_come_first_and_are_checked(spark, monkeypatch):
     got = near_texts(spark.createDataFrame(texts, "doc_id bigint, text string")).collect()
     assert {r["doc_id"]: r["component_id"] for r in got} == {1: 1, 2: 1, 3: 3}
     assert met[0].count() == 1
+
+
+def test_workers_get_few_whole_texts_at_once(spark):
+    from linkforge.llm import near_texts as module
+    from linkforge.llm.storage import materialise
+
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    sizes = spark.range(0, 5000, 1, 1).mapInArrow(lambda batches: (pa.RecordBatch.from_arrays([pa.array([b.num_rows])], ["id"]) for b in batches), "id bigint")
+    assert {r["id"] for r in materialise(sizes, "sizes", module.TEXT_ROWS)[0].collect()} <= set(range(1, module.TEXT_ROWS + 1))
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == before
