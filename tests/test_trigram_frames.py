@@ -77,3 +77,18 @@ def test_match_rate_takes_one_candidate_a_document(spark):
     catalogue.queries()["r8_match_rate_by_type"](spark, SF).collect()
     best = World(spark, SF).likest(0.6)
     assert best.count() == best.select("doc_id").distinct().count() > 0
+
+
+def test_texts_with_a_good_match_are_not_compared_again(spark):
+    w = World(spark, SF)
+    found = {r["can"] for r in engines.like_union(w).select("can").distinct().collect()}
+    exact = {r["can"] for r in w.docs.join(w.gaz.select("can"), "can", "left_semi").select("can").collect()}
+    assert found and exact and not found & exact
+
+
+def test_all_pairs_come_with_a_slack_of_one(spark, monkeypatch):
+    left, right = texts(spark)
+    args = (left, right, "l", "x", "r", "y", 0.4)
+    got = sorted(tuple(r) for r in joins.likest(*args, 1.0).select("l", "r", "similarity").collect())
+    want = plain(monkeypatch, lambda: joins.trigram_join(*args).select("l", "r", "similarity"))
+    assert got == want and got
