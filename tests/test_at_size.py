@@ -5,7 +5,7 @@ import pytest
 
 from linkforge.functions import embedding
 from linkforge.operators import joins
-from linkforge.plans import catalogue, engines, firsts
+from linkforge.plans import catalogue, engines, firsts, matching
 from linkforge.plans.demo import World, spread
 from linkforge.plans.registry import spark_sql
 
@@ -126,3 +126,22 @@ def test_trigram_join_of_no_texts_is_empty(spark):
     for k, columns in ((None, ["l", "r", "similarity"]), (3, ["l", "r", "similarity", "rank"])):
         found = joins.trigram_join(none, some, "l", "x", "r", "y", 0.6, k)
         assert found.columns == columns and not found.collect()
+
+
+def test_double_like_is_its_sql_and_pairs_are_not_made_distinct_for_single_documents(spark, duck):  # noqa: F811
+    same_as_sql(spark, duck, "j12_double_like")
+    assert "collect_set" not in catalogue.oracles()["j12_double_like"]
+    # The houses of a road are met once, in a table of their own.
+    held = World(spark, SF).stage("double_like", lambda: None)
+    assert held.columns == ["way", "num", "ids"] and held.count() == held.select("way", "num").distinct().count() > 0
+
+
+def test_double_like_of_repeated_documents(spark, small_parts, monkeypatch):
+    parts = small_parts.doc_parts.selectExpr("doc_id div 3 as doc_id", "num", "way", "city", "pc")
+    gaz = spark.createDataFrame([(n, f"{n % 9}", ["OAK ROAD", "MILL LANE"][n % 2], f"{n % 9} oak road {n % 5}", "ALTON", "GU1 1AA") for n in range(60)], "address_id long, house string, road string, full_address string, town string, postcode string")
+    monkeypatch.setattr(World, "doc_parts", property(lambda w: parts))
+    monkeypatch.setattr(World, "gaz", property(lambda w: gaz))
+    got = [tuple(r) for r in matching.double_like(small_parts).select("doc_id", "address_id").collect()]
+    houses = [(r["doc_id"], r["way"], r["num"]) for r in parts.collect() if r["num"] and r["way"]]
+    want = {(d, r["address_id"]) for d, way, num in houses for r in gaz.collect() if r["road"] == way and num in r["full_address"].upper()}
+    assert len(got) == len(set(got)) and set(got) == want and want
