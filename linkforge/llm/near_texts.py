@@ -13,9 +13,13 @@ shingles in each of SIGNATURE_BITS buckets, and two sets differ in no fewer memb
 their signatures differ in bits. Only pairs within that bound have their whole sets compared.
 
 Texts that share a shingle are first compared with one of them, in ROUNDS rounds with
-another one each. What that links is one cluster. Then every pair that is still in two
-clusters is held against the bound, the rows of a shingle's largest cluster only with the
-others, so a cluster costs about as many comparisons as it has members.
+another one each. What that links is one cluster. Where a shingle still has many texts
+outside its largest cluster, those are compared with HEADS of its members, again while
+half of the pairs link. Then every pair that is still in two clusters is held
+against the bound, the rows of a shingle's largest cluster only with the others, so a
+cluster costs about as many comparisons as it has members. Of the shingles that such a pair
+shares, only those count that have no shared one among the BEFORE ahead of them in both
+prefixes: the first always does, so no pair is lost.
 """
 
 from __future__ import annotations
@@ -24,7 +28,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bpe import text_slices
@@ -36,6 +40,10 @@ SHINGLE_WORDS, SIMILARITY = 5, 0.8
 #: One text of so many is in the sample; shingles of so many of its texts come last in the order, at most LATE of them.
 SAMPLE, OFTEN, LATE = 8, 3, 1 << 20
 SIGNATURE_BITS, ROUNDS = 512, 2
+#: Texts outside its largest cluster that make a shingle busy, members that those are compared with, most rounds of that.
+BUSY, HEADS, MORE_ROUNDS = 8, 4, 4
+#: Open shingles ahead of its own that a row keeps.
+BEFORE = 6
 #: Whole texts that a Python worker gets at once.
 TEXT_ROWS = 256
 
@@ -137,6 +145,52 @@ def late_shingles(docs: DataFrame, shingle_words: int) -> tuple[np.ndarray, np.n
     return often["gram"].to_numpy(np.int64), often["n"].to_numpy(np.int64)
 
 
+def possible(n: str, pos: str, m: str, at: str, least: float) -> Column:
+    """At the first shingle that both have, so many can still be shared."""
+    return alike(F.col(n), F.col(m), F.least(F.col(n) - F.col(pos), F.col(m) - F.col(at)), least)
+
+
+def open_grams(named: DataFrame) -> DataFrame:
+    """(gram, top, c): shingles with several clusters, the size and name of the largest, and all rows, of named(gram, cluster)."""
+    sizes = named.groupBy("gram", "cluster").agg(F.count(F.lit(1)).alias("c")).groupBy("gram")
+    return sizes.agg(F.max(F.struct("c", "cluster")).alias("top"), F.sum("c").alias("c")).filter("c > top.c")
+
+
+def busy_pairs(named: DataFrame, turn: int, least: float) -> DataFrame:
+    """(x, y): the texts outside the largest cluster of busy shingles, and members of that cluster."""
+    busy = open_grams(named).filter(F.col("c") - F.col("top.c") >= BUSY).select("gram", F.col("top.cluster").alias("_top"))
+    rows = named.join(busy, "gram")
+    heads = rows.filter("cluster = _top").groupBy("gram").agg(*[F.min(F.struct(F.xxhash64("key", F.lit(HEADS * turn + h)).alias("by"), "key", "n", "pos")).alias(f"_{h}") for h in range(HEADS)])
+    heads = heads.select("gram", F.explode(F.array_distinct(F.array(*[F.struct(f"_{h}.key", f"_{h}.n", f"_{h}.pos") for h in range(HEADS)]))).alias("head"))
+    heads = heads.select("gram", F.col("head.key").alias("y"), F.col("head.n").alias("m"), F.col("head.pos").alias("at"))
+    return rows.filter("cluster != _top").join(heads, "gram").filter(possible("n", "pos", "m", "at", least)).select(F.col("key").alias("x"), "y").distinct()
+
+
+def open_rows(named: DataFrame, signatures: DataFrame, block: int) -> DataFrame:
+    """Rows of named(key, gram, n, pos, cluster) of open shingles, with signatures, blocks and the open shingles ahead of each."""
+    blocks = lambda c: F.ceil(c / F.lit(block)).cast("int")
+    open_ = open_grams(named).select("gram", F.col("top.cluster").alias("_top"), blocks(F.col("c") - F.col("top.c")).alias("_less"), blocks(F.col("c")).alias("_all"))
+    ahead = Window.partitionBy("key").orderBy("pos").rowsBetween(-BEFORE, -1)
+    return named.join(open_, "gram").join(signatures.select("key", "sig"), "key").withColumn("before", F.collect_list("gram").over(ahead))
+
+
+def open_pairs(rows: DataFrame, least: float) -> DataFrame:
+    """(x, y) of open_rows() in two clusters and within the bound; most pairs once."""
+    # Of each shingle with several clusters: the rows of its largest one, and the others, cut in blocks that all meet.
+    place = lambda k, seed: F.pmod(F.xxhash64("key", F.lit(seed)), F.col(k)).cast("int")
+    every_block = lambda k: F.explode(F.sequence(F.lit(0), F.col(k) - 1))
+    rest = rows.filter("cluster != _top").select("*", place("_less", 5).alias("_i"), every_block("_all").alias("_j"))
+    other = rows.select(
+        "gram", every_block("_less").alias("_i"), place("_all", 7).alias("_j"), F.col("key").alias("y"), F.col("n").alias("m"),
+        F.col("pos").alias("at"), F.col("cluster").alias("_c"), F.col("sig").alias("sig_y"), F.col("before").alias("before_y"),
+    )
+    # Two rows that are both not in the largest cluster meet once.
+    once = (F.col("_c") == F.col("_top")) | (F.col("key") < F.col("y"))
+    first = ~F.arrays_overlap("before", "before_y")
+    met = rest.join(other, ["gram", "_i", "_j"]).filter((F.col("cluster") != F.col("_c")) & once & possible("n", "pos", "m", "at", least) & bound("n", "sig", "m", "sig_y", least) & first)
+    return met.select(F.least("key", "y").alias("x"), F.greatest("key", "y").alias("y"))
+
+
 def near_texts(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = SHINGLE_WORDS, least: float = SIMILARITY, block: int = BLOCK
 ) -> DataFrame:
@@ -174,10 +228,6 @@ def near_texts(
     for path in (classes_path, grams_path):
         discard(spark, path)
 
-    def possible(n: str, pos: str, m: str, at: str) -> Column:
-        """At the first shingle that both have, so many can still be shared."""
-        return alike(F.col(n), F.col(m), F.least(F.col(n) - F.col(pos), F.col(m) - F.col(at)), least)
-
     edges = verified(known, within_bound(simhash_pairs(signatures, block), signatures, least), reps, shingle_words, least)
     found = components(edges)
     label = reps.join(found, reps["rep"] == found["node"], "left").select("key", F.coalesce("component", "rep").alias("cluster"))
@@ -187,7 +237,7 @@ def near_texts(
         heads = named.groupBy("gram").agg(F.min(order).alias("head"), F.min("cluster").alias("lo"), F.max("cluster").alias("hi")).filter("lo != hi")
         first = named.join(heads, "gram").filter(F.col("cluster") != F.col("head.cluster"))
         first = first.select("key", "n", "pos", F.col("head.key").alias("y"), F.col("head.n").alias("m"), F.col("head.pos").alias("at"))
-        star = first.filter(possible("n", "pos", "m", "at")).select(F.col("key").alias("x"), "y").distinct()
+        star = first.filter(possible("n", "pos", "m", "at", least)).select(F.col("key").alias("x"), "y").distinct()
         near, near_path = materialise(within_bound(star, signatures, least), "shingle-pairs")
         linked = verified(known, near, reps, shingle_words, least)
         edges = edges.union(linked)
@@ -196,24 +246,23 @@ def near_texts(
         for path in (named_path, near_path):
             discard(spark, path)
     named, named_path = materialise(few.join(label, "key"), "shingle-named")
+    for turn in range(MORE_ROUNDS):
+        near, near_path = materialise(within_bound(busy_pairs(named, turn, least), signatures, least), "shingle-pairs")
+        linked = verified(known, near, reps, shingle_words, least)
+        gained, tried = linked.count(), near.count()
+        discard(spark, near_path)
+        if not gained:
+            break
+        edges = edges.union(linked)
+        found = components(edges)
+        label = reps.join(found, reps["rep"] == found["node"], "left").select("key", F.coalesce("component", "rep").alias("cluster"))
+        discard(spark, named_path)
+        named, named_path = materialise(few.join(label, "key"), "shingle-named")
+        if 2 * gained < tried:
+            break
     discard(spark, few_path)
-    # Of each shingle with several clusters: the rows of its largest one, and the others, cut in blocks that all meet.
-    sizes = named.groupBy("gram", "cluster").agg(F.count(F.lit(1)).alias("c")).groupBy("gram")
-    sizes = sizes.agg(F.max(F.struct("c", "cluster")).alias("top"), F.sum("c").alias("c")).filter("c > top.c")
-    blocks = lambda c: F.ceil(c / F.lit(block)).cast("int")
-    open_ = sizes.select("gram", F.col("top.cluster").alias("_top"), blocks(F.col("c") - F.col("top.c")).alias("_less"), blocks(F.col("c")).alias("_all"))
-    rows, rows_path = materialise(named.join(open_, "gram").join(signatures.select("key", "sig"), "key"), "shingle-groups")
-    place = lambda k, seed: F.pmod(F.xxhash64("key", F.lit(seed)), F.col(k)).cast("int")
-    every_block = lambda k: F.explode(F.sequence(F.lit(0), F.col(k) - 1))
-    rest = rows.filter("cluster != _top").select("*", place("_less", 5).alias("_i"), every_block("_all").alias("_j"))
-    other = rows.select(
-        "gram", every_block("_less").alias("_i"), place("_all", 7).alias("_j"),
-        F.col("key").alias("y"), F.col("n").alias("m"), F.col("pos").alias("at"), F.col("cluster").alias("_c"), F.col("sig").alias("sig_y"),
-    )
-    # Two rows that are both not in the largest cluster meet once.
-    once = (F.col("_c") == F.col("_top")) | (F.col("key") < F.col("y"))
-    cross = rest.join(other, ["gram", "_i", "_j"]).filter((F.col("cluster") != F.col("_c")) & once & possible("n", "pos", "m", "at") & bound("n", "sig", "m", "sig_y", least))
-    cross, _ = materialise(cross.select(F.least("key", "y").alias("x"), F.greatest("key", "y").alias("y")).distinct(), "shingle-pairs")
+    rows, rows_path = materialise(open_rows(named, signatures, block), "shingle-groups")
+    cross, _ = materialise(open_pairs(rows, least).distinct(), "shingle-pairs")
     for path in (named_path, rows_path, signatures_path):
         discard(spark, path)
     found = components(edges.union(verified(known, cross, reps, shingle_words, least)))

@@ -87,3 +87,35 @@ def test_workers_get_few_whole_texts_at_once(spark):
     sizes = spark.range(0, 5000, 1, 1).mapInArrow(lambda batches: (pa.RecordBatch.from_arrays([pa.array([b.num_rows])], ["id"]) for b in batches), "id bigint")
     assert {r["id"] for r in materialise(sizes, "sizes", module.TEXT_ROWS)[0].collect()} <= set(range(1, module.TEXT_ROWS + 1))
     assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == before
+
+
+def named_rows(spark, rows):
+    return spark.createDataFrame(rows, "key bigint, gram bigint, n int, pos int, cluster bigint")
+
+
+def test_a_pair_of_two_clusters_counts_at_the_first_shared_shingle(spark):
+    from linkforge.llm import near_texts as module
+
+    apart = module.BEFORE + 3
+    # 1 and 2 share a run of shingles, 1 and 3 one at the end of as many others that 4 and 5 have.
+    rows = [(k, g, 400, g, k) for k in (1, 2) for g in range(40)]
+    rows += [(k, 100 * k + g, 400, 40 + g, k) for k in (1, 3) for g in range(apart)] + [(k + 3, 100 * k + g, 9000, g, k + 3) for k in (1, 3) for g in range(apart)]
+    rows += [(k, 999, 400, 49, k) for k in (1, 3)]
+    signatures = spark.createDataFrame([(k, [0] * 8) for k in range(1, 7)], "key bigint, sig array<bigint>")
+    for block in (1024, 1):
+        found = module.open_pairs(module.open_rows(named_rows(spark, rows), signatures, block), 0.75).collect()
+        assert sorted(map(tuple, found)) == [(1, 2), (1, 3)]
+
+
+def test_texts_of_a_busy_shingle_are_compared_with_its_largest_cluster(spark, monkeypatch):
+    from linkforge.llm import near_texts as module
+
+    rows = [(k, 7, 100, 0, min(k, 6)) for k in range(6, 20)] + [(k, 7, 100, 0, k) for k in range(20, 40)]
+    found = module.busy_pairs(named_rows(spark, rows), 0, 0.8).collect()
+    assert {r["x"] for r in found} == set(range(20, 40)) and {r["y"] for r in found} <= set(range(6, 20))
+    assert 0 < len(found) <= 20 * module.HEADS
+    assert module.busy_pairs(named_rows(spark, rows[: 14 + module.BUSY - 1]), 0, 0.8).count() == 0
+    texts = some_texts()
+    monkeypatch.setattr(module, "BUSY", 1)
+    got = near_texts(spark.createDataFrame(texts, "doc_id bigint, text string")).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == brute(texts)
