@@ -24,6 +24,7 @@ prefixes: the first always does, so no pair is lost.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -44,8 +45,8 @@ SIGNATURE_BITS, ROUNDS = 512, 2
 BUSY, HEADS, MORE_ROUNDS = 8, 4, 4
 #: Open shingles ahead of its own that a row keeps.
 BEFORE = 6
-#: Whole texts that a Python worker gets at once.
-TEXT_ROWS = 256
+#: Whole texts that a Python worker gets at once, and characters of texts whose sets it hands back at once.
+TEXT_ROWS, SLICE_CHARS = 256, 1 << 20
 
 
 def shingle_set(text: str, shingle_words: int = SHINGLE_WORDS) -> np.ndarray:
@@ -64,6 +65,14 @@ def shingle_set(text: str, shingle_words: int = SHINGLE_WORDS) -> np.ndarray:
     return np.unique(np.array(hashes, np.uint64).view(np.int64))
 
 
+def give_back() -> None:
+    """Free memory of this worker goes back to the machine: the worker stays for other stages, whose executor it shares."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def sets_of(docs: DataFrame, shingle_words: int, make: Callable[[np.ndarray], tuple], schema: str) -> DataFrame:
     """(id, *make(shingles)) of docs(id, text)."""
     from pyspark.sql.pandas.types import to_arrow_schema
@@ -73,11 +82,12 @@ def sets_of(docs: DataFrame, shingle_words: int, make: Callable[[np.ndarray], tu
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, texts in text_slices(batch):
+            for part, texts in text_slices(batch, chars=SLICE_CHARS):
                 columns = list(zip(*[make(shingle_set(t, shingle_words)) for t in texts], strict=True))
                 if columns:
                     made = [pa.array(list(c), f.type) for c, f in zip(columns, list(types)[1:], strict=True)]
                     yield pa.RecordBatch.from_arrays([part.column(0), *made], types.names)
+        give_back()
 
     return docs.mapInArrow(run, f"id bigint, {schema}")
 

@@ -119,3 +119,18 @@ def test_texts_of_a_busy_shingle_are_compared_with_its_largest_cluster(spark, mo
     monkeypatch.setattr(module, "BUSY", 1)
     got = near_texts(spark.createDataFrame(texts, "doc_id bigint, text string")).collect()
     assert {r["doc_id"]: r["component_id"] for r in got} == brute(texts)
+
+
+def test_sets_are_handed_back_in_small_batches_and_free_memory_is_given_back(spark, monkeypatch):
+    from linkforge.llm import near_texts as module
+
+    class Docs:
+        def mapInArrow(self, run, schema):  # noqa: N802
+            return run
+
+    given = []
+    monkeypatch.setattr(module, "give_back", lambda: given.append(1))
+    run = module.sets_of(Docs(), 5, lambda s: (s,), "grams array<bigint>")
+    text = " ".join(str(n) for n in range(module.SLICE_CHARS // 10))
+    batch = pa.RecordBatch.from_arrays([pa.array(range(8)), pa.array([text] * 8)], ["id", "text"])
+    assert [b.num_rows for b in run(iter([batch]))] == [1] * 8 and given == [1]
