@@ -92,3 +92,19 @@ def test_all_pairs_come_with_a_slack_of_one(spark, monkeypatch):
     got = sorted(tuple(r) for r in joins.likest(*args, 1.0).select("l", "r", "similarity").collect())
     want = plain(monkeypatch, lambda: joins.trigram_join(*args).select("l", "r", "similarity"))
     assert got == want and got
+
+
+def test_right_rows_are_framed_in_a_task(spark, monkeypatch):
+    left, right = texts(spark)
+    plain_framed, here = joins._framed, []
+    monkeypatch.setattr(joins, "_framed", lambda rows: here.append(1) or plain_framed(rows))
+    assert joins._by_frame(left, right, "l", "x", "r", "y", 0.5, 200).count() > 0 and not here
+
+
+def test_arrays_come_to_the_driver_in_pieces(monkeypatch):
+    monkeypatch.setattr(joins, "PIECE_BYTES", 16)
+    arrays = {"a": np.arange(11), "b": np.arange(12, dtype=np.float32).reshape(3, 4), "c": np.zeros(0, np.uint16), "d": np.zeros((2, 0), np.float32)}
+    pieces = [r for b in joins._array_rows(arrays) for r in b.to_pylist()]
+    assert max(len(p["data"]) for p in pieces) <= 16 and len(pieces) == 6 + 3 + 1 + 1
+    got = joins._arrays(type("Rows", (), {"toLocalIterator": lambda self: iter(pieces)})())
+    assert all(got[n].dtype == v.dtype and np.array_equal(got[n], v) for n, v in arrays.items())
