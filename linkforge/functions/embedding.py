@@ -56,20 +56,34 @@ def generated_of(text: str, dimensions: int = DIMENSIONS) -> np.ndarray:
     return ((np.fmod(out, 1000) - 500).astype(np.float32) / np.float32(1000)).astype(np.float32)
 
 
+def generated_from(seeds: np.ndarray, dimensions: int = DIMENSIONS) -> np.ndarray:
+    """The vectors of seeds, 64-bit numbers of either sign: a row for each."""
+    seeds = seeds.astype(np.int64).view(np.uint64)
+    states = np.empty((len(seeds), dimensions), np.uint64)
+    with np.errstate(over="ignore"):
+        for i in range(dimensions):
+            seeds = seeds * np.uint64(1103515245) + np.uint64(12345)
+            states[:, i] = seeds
+    return (np.fmod(states.view(np.int64), 1000) - 500).astype(np.float32) / np.float32(1000)
+
+
+def generated_seed(x: Column | str) -> Column:
+    """The seed of each text's generated vector, as a signed number; null for null."""
+
+    @F.pandas_udf("bigint")
+    def run(texts: pd.Series) -> pd.Series:
+        return pd.Series([None if t is None else (s - (1 << 64) if (s := _seed(t)) >> 63 else s) for t in texts], dtype="Int64")
+
+    return run(x)
+
+
 def generated_embedding(x: Column | str, dimensions: int = DIMENSIONS) -> Column:
     """generated_of(), a batch at a time; null for null."""
 
     @F.pandas_udf("array<float>")
     def run(texts: pd.Series) -> pd.Series:
-        known = [t for t in texts if t is not None]
-        with np.errstate(over="ignore"):
-            seeds = np.array([_seed(t) for t in known], np.uint64)
-            states = np.empty((len(known), dimensions), np.uint64)
-            for i in range(dimensions):
-                seeds = seeds * np.uint64(1103515245) + np.uint64(12345)
-                states[:, i] = seeds
-        vectors = (np.fmod(states.view(np.int64), 1000) - 500).astype(np.float32) / np.float32(1000)
-        made = iter(vectors)
+        seeds = np.array([_seed(t) for t in texts if t is not None], np.uint64)
+        made = iter(generated_from(seeds.view(np.int64), dimensions))
         return pd.Series([None if t is None else next(made) for t in texts], dtype="object")
 
     return run(x)

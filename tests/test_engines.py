@@ -161,6 +161,35 @@ def test_vectors_meet_equal_texts_only(spark):
     assert got >= {(d, known[t]) for d, t in docs.items() if t and t in known}
 
 
+@pytest.fixture
+def same_texts(spark, monkeypatch):
+    """A text of 15 addresses, asked for by two documents, and one that no address has."""
+    docs = spark.createDataFrame([(1, "12 OAK ROAD ALTON"), (2, "12 OAK ROAD ALTON"), (3, "AU10001"), (4, ""), (5, None)], "doc_id long, can string")
+    gaz = spark.createDataFrame([(n, "12 OAK ROAD ALTON") for n in range(15)] + [(20, "7 MILL LANE LISS"), (21, ""), (22, None)], "address_id long, can string")
+    monkeypatch.setattr(World, "docs", property(lambda w: docs))
+    monkeypatch.setattr(World, "gaz", property(lambda w: gaz))
+    return f"small-{id(docs)}"
+
+
+def test_vectors_give_every_address_of_a_text(spark, same_texts):
+    got = [tuple(r) for r in catalogue.queries()["d10_vector_combined"](spark, same_texts).collect()]
+    assert sorted(got) == [(d, n, 1.0, 1.0) for d in (1, 2) for n in range(15)]
+
+
+def test_vector_engine_ranks_every_address_of_a_text(spark, same_texts):
+    got = [tuple(r) for r in catalogue.queries()["a8_vector"](spark, same_texts).collect()]
+    assert sorted(got) == [(d, 0, 1, 1.0, "auto_accepted") for d in (1, 2)]
+    ranked = engines.vector_scores(World(spark, same_texts)).groupBy("doc_id").count().collect()
+    assert {(r[0], r[1]) for r in ranked} == {(1, 15), (2, 15)}
+
+
+def test_generated_vectors_of_seeds(spark):
+    texts = ["12 HIGH STREET ALTON", "A", "\u00e9 FLAT 2", None]
+    seeds = [r[0] for r in spark.createDataFrame([(t,) for t in texts], "x string").coalesce(1).select(embedding.generated_seed("x")).collect()]
+    assert seeds[3] is None
+    assert np.array_equal(embedding.generated_from(np.array(seeds[:3])), np.array([embedding.generated_of(t) for t in texts[:3]]))
+
+
 def test_layer_two_takes_the_exact_text_then_the_likest_on_its_road(spark):
     make = spark.createDataFrame
     docs = make(
