@@ -206,3 +206,23 @@ def test_layer_two_takes_the_exact_text_then_the_likest_on_its_road(spark):
     got = spark_sql(World(spark, SF), engines.layer_two(SPARK, engines._eligible(SPARK)), docs=docs, gaz=gaz, doc_parts=parts, union_rows=union, like_union=like)
     # Both rows of a text are matched; an address itself goes before one of a range; another house or road is none.
     assert sorted((r.doc_id, r.address_id, float(r.confidence)) for r in got.collect()) == [(1, 12, 1.0), (2, 12, 1.0), (3, 11, 0.9)]
+
+
+@pytest.mark.parametrize("pairs", ["by_text", "by_street"])
+def test_matched_pairs_are_those_of_the_join_without_one(spark, pairs):
+    from linkforge.functions.dialect import SPARK
+    from linkforge.plans.registry import spark_sql
+
+    w = World(spark, SF)
+    columns = ["doc_id", "address_id", "similarity", "house_hit", "street_score", "place_hit", "post_hit", "asked", "matched"]
+    want = spark_sql(w, engines.component_join(SPARK, pairs), **engines.token_frames(w), **{pairs: engines.PAIR_FRAMES[pairs][0](w)}).select(*columns)
+    got = engines.matched_pairs(w, pairs).select(*columns)
+    assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString()
+    rows_ = sorted(tuple(r) for r in want.collect())
+    assert sorted(tuple(r) for r in got.collect()) == rows_ and rows_
+    # Too much to broadcast, or keys that repeat: the join.
+    docs = w.docs.select("doc_id", "can")
+    one = {"same": ("can", "can", lambda a, b: a == b)}
+    args = (spark.createDataFrame([(1, 1, 0.5)], "doc_id long, address_id long, similarity double"), docs, w.gaz.select("address_id", "can"), "doc_id", "address_id", "similarity", one)
+    assert engines.joins.scored_pairs(*args, 100) is None
+    assert engines.joins.scored_pairs(args[0], docs.union(docs), *args[2:]) is None
