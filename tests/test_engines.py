@@ -226,3 +226,15 @@ def test_matched_pairs_are_those_of_the_join_without_one(spark, pairs):
     args = (spark.createDataFrame([(1, 1, 0.5)], "doc_id long, address_id long, similarity double"), docs, w.gaz.select("address_id", "can"), "doc_id", "address_id", "similarity", one)
     assert engines.joins.scored_pairs(*args, 100) is None
     assert engines.joins.scored_pairs(args[0], docs.union(docs), *args[2:]) is None
+
+
+def test_accurate_passes_keep_the_best_of_a_document_only(spark):
+    w = World(spark, SF)
+    for pairs in engines.PASSES:
+        every = engines.matched_pairs(w, pairs).selectExpr("doc_id", "address_id", f"double({engines.PASSES[pairs]}) as score", "matched").collect()
+        best: dict = {}
+        for r in every:
+            mine = (-round(r.score, 6), -r.matched, r.address_id)
+            best[r.doc_id] = min(best.get(r.doc_id, mine), mine)
+        got = [(r.doc_id, (-round(r.score, 6), -r.matched, r.address_id)) for r in engines.best_matched(w, pairs).collect()]
+        assert set(best.items()) <= set(got) and len(got) < len(every)
